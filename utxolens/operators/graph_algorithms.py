@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from utxolens.sources.storage import WorkTables
 
 RESET = 0.15
+ROUNDS_PER_TABLE = 5
 
 
 def _signature(*columns: str) -> list[Column]:
@@ -100,21 +101,37 @@ def _vertices(edges: DataFrame) -> DataFrame:
     )
 
 
-def _rank_step(ranks: DataFrame, weights: DataFrame, reset: float, source: str | None) -> DataFrame:
-    """One round. ``ranks`` has (id, rank, base); base is the reset mass of a vertex."""
-    keys = ["id"] if source is None else ["id", source]
+def _rank_step(
+    ranks: DataFrame, weights: DataFrame, base: DataFrame, reset: float, keys: list[str]
+) -> DataFrame:
+    """One round: rank from the sources of a vertex, plus its own reset mass.
+
+    ``base`` has the reset mass. It is a stored table, so that a chain of rounds
+    refers to the round before it only once.
+    """
     received = ranks.join(weights.withColumnRenamed("src", "id"), "id").select(
         F.col("dst").alias("id"),
         *keys[1:],
         (F.col("rank") * F.col("weight") * (1 - reset)).alias("rank"),
-        F.lit(0.0).alias("base"),
-    )
-    kept = ranks.select(*keys, F.col("base").alias("rank"), "base")
-    return (
-        received.unionByName(kept)
-        .groupBy(*keys)
-        .agg(F.sum("rank").alias("rank"), F.max("base").alias("base"))
     )
+    kept = base.select(*keys, F.col("base").alias("rank"))
+    return received.unionByName(kept).groupBy(*keys).agg(F.sum("rank").alias("rank"))
+
+
+def _rank_rounds(
+    work: WorkTables,
+    ranks: DataFrame,
+    weights: DataFrame,
+    base: DataFrame,
+    rounds: int,
+    reset: float,
+    keys: list[str],
+) -> DataFrame:
+    for round_nr in range(1, rounds + 1):
+        ranks = _rank_step(ranks, weights, base, reset, keys)
+        if round_nr % ROUNDS_PER_TABLE == 0 or round_nr == rounds:
+            ranks = work.write(ranks, "ranks")
+    return ranks
 
 
 def _normalised(ranks: DataFrame, total: Column, source: str | None = None) -> DataFrame:
@@ -123,7 +140,8 @@ def _normalised(ranks: DataFrame, total: Column, source: str | None = None) -> D
         mass = ranks.agg(F.sum("rank").alias("mass"))
         return ranks.select("id", (F.col("rank") * total / mass.scalar()).alias("pagerank"))
     mass = ranks.groupBy(source).agg(F.sum("rank").alias("mass"))
-    return ranks.join(mass, source).select(
+    # as many rows as there are sources
+    return ranks.join(F.broadcast(mass), source).select(
         source, "id", (F.col("rank") * total / F.col("mass")).alias("pagerank")
     )
 
@@ -145,29 +163,23 @@ def pagerank(
         raise ValueError("give either max_iter or tol")
     work = WorkTables(edges.sparkSession, "pagerank")
     weights = work.write(edge_weights(edges), "weights")
-    if source is None:
-        start, base = F.lit(1.0), F.lit(reset)
-    else:
-        here = F.when(F.col("id") == F.lit(source), 1.0).otherwise(0.0)
-        start, base = here, here * reset
-    ranks = _vertices(weights).select("id", start.alias("rank"), base.alias("base"))
+    start = F.lit(1.0)
+    if source is not None:
+        start = F.when(F.col("id") == F.lit(source), 1.0).otherwise(0.0)
+    base = work.write(
+        _vertices(weights).select("id", start.alias("rank"), (start * reset).alias("base")), "base"
+    )
+    ranks = base.select("id", "rank")
     if max_iter is not None:
-        for round_nr in range(1, max_iter + 1):
-            ranks = _rank_step(ranks, weights, reset, None)
-            if round_nr % 5 == 0 or round_nr == max_iter:
-                ranks = work.write(ranks, "ranks")
+        ranks = _rank_rounds(work, ranks, weights, base, max_iter, reset, ["id"])
     else:
-        ranks = work.write(ranks, "ranks")
         moved = tol + 1
         while moved > tol:
             before = ranks.select("id", F.col("rank").alias("before"))
-            step = _rank_step(ranks, weights, reset, None).join(before, "id")
+            step = _rank_step(ranks, weights, base, reset, ["id"]).join(before, "id")
             observation = Observation()
             change = F.max(F.abs(F.col("rank") - F.col("before"))).alias("moved")
-            following = work.write(
-                step.observe(observation, change).drop("before"), "ranks"
-            )
-            work.drop(ranks)
+            following = work.write(step.observe(observation, change).drop("before"), "ranks")
             ranks, moved = following, observation.get["moved"] or 0.0
     if source is not None:
         return _normalised(ranks, F.lit(1.0))
@@ -184,17 +196,20 @@ def parallel_personalized_pagerank(
     """
     work = WorkTables(edges.sparkSession, "pagerank-sources")
     weights = work.write(edge_weights(edges), "weights")
-    ranks = (
+    base = work.write(
         _vertices(weights)
         .filter(F.col("id").isin(sources))
         .select(
-            "id", F.col("id").alias("source_id"), F.lit(1.0).alias("rank"), F.lit(reset).alias("base")
-        )
+            "id",
+            F.col("id").alias("source_id"),
+            F.lit(1.0).alias("rank"),
+            F.lit(reset).alias("base"),
+        ),
+        "base",
     )
-    for round_nr in range(1, max_iter + 1):
-        ranks = _rank_step(ranks, weights, reset, "source_id")
-        if round_nr % 5 == 0 or round_nr == max_iter:
-            ranks = work.write(ranks, "ranks")
+    keys = ["id", "source_id"]
+    ranks = base.select(*keys, "rank")
+    ranks = _rank_rounds(work, ranks, weights, base, max_iter, reset, keys)
     return _normalised(ranks, F.lit(1.0), "source_id")
 
 

@@ -21,8 +21,11 @@ from utxolens.operators import (
     utxo,
 )
 from utxolens.session import tune
+from utxolens.streaming import entity_state, feeds
 from utxolens.sources.derived import Ledger, derived_ledger
-from utxolens.sources.storage import materialize
+from utxolens.sources.sinks import append_batch
+from utxolens.sources.storage import WorkTables, materialize
+from utxolens.sources.streams import file_stream
 
 Dataset = Callable[[SparkSession, str], DataFrame]
 DATASETS: dict[str, Dataset] = {}
@@ -513,6 +516,35 @@ def address_stake_links(t):
     return edges.address_stake_links(t.tx_out, t.stake_address)
 
 
+@dataset
+def co_spent_address_edges(t):
+    pairs = utxo.co_input_pairs(t.tx_out, t.tx_in)
+    return edges.associated_edges(pairs, utxo.address_ids(t.tx_out))
+
+
+@dataset
+def address_neighbours(t):
+    """Sizes of the neighbour sets of each source address."""
+    sets = edges.neighbour_sets(edges.address_pairs(t.tx_in, t.tx_out), "src", "dst")
+    return sets.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("parts"))
+
+
+@dataset
+def transaction_document_sizes(t):
+    """Lengths of the nested inputs and outputs of each transaction."""
+    size = lambda name: F.sum(F.when(F.col(name).isNull(), 0).otherwise(F.size(name)))
+    documents = entities.transaction_documents(t.tx, t.tx_in, t.tx_out)
+    return documents.groupBy("id").agg(
+        size("inputs").alias("n_inputs"), size("outputs").alias("n_outputs")
+    )
+
+
+@dataset
+def snapshots(t):
+    ends = entity_state.snapshot_cut_offs(t.block)
+    return ends.withColumn("snapshot_ts", F.date_format("snapshot_ts", "yyyy-MM-dd HH:mm:ss"))
+
+
 # ------------------------------------------------------------ graph queries
 
 
@@ -586,11 +618,6 @@ def adjacency_sizes(t):
     return graph_queries.adjacency_sizes(edges.address_pairs(t.tx_in, t.tx_out))
 
 
-@dataset
-def motif_mutual(t):
-    return graph_queries.motif_mutual(edges.address_pairs(t.tx_in, t.tx_out))
-
-
 @dataset
 def triangles(t):
     return graph_algorithms.triangle_count(edges.address_pairs(t.tx_in, t.tx_out))
@@ -691,7 +718,50 @@ _register(
     "addresses_per_entity",
     lambda s, d: network_metrics.addresses_per_entity(stored_entities(s, d)),
 )
+_register("motif_mutual", lambda s, d: graph_queries.motif_mutual(stored_entity_edges(s, d)))
+_register(
+    "strong_components",
+    lambda s, d: graph_algorithms.strongly_connected_components(stored_entity_edges(s, d)),
+)
 _register("largest_scc", lambda s, d: graph_algorithms.largest_scc(stored_entity_edges(s, d)))
+
+
+def _stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """One of the given tables read as a stream of files."""
+    fields = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    return file_stream(spark, folder, fields, pattern=f"{table}.parquet")
+
+
+def _stream_rewards_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals kept by a streaming aggregate over the events, read back."""
+    target = WorkTables(spark, "stream-rewards").folder
+    rewards_stream = derived_ledger(
+        spark, folder, scan=lambda name: _stream(spark, folder, name)
+    ).reward
+    feeds.reward_type_feed(rewards_stream, f"{target}/totals", f"{target}/checkpoint")
+    return spark.read.parquet(f"{target}/totals")
+
+
+def _stream_token_supply(spark: SparkSession, folder: str) -> DataFrame:
+    """Supply added up from the batches of a stream of mints, read back."""
+    target = WorkTables(spark, "stream-tokens").folder
+    lines = _stream(spark, folder, "lineitem")
+    feeds.drain(
+        lines,
+        lambda batch, batch_id: append_batch(
+            tokens.token_supply(
+                derived_ledger(spark, folder, scan=lambda name: batch).ma_tx_mint
+            ),
+            f"{target}/supply",
+            batch_id,
+        ),
+        f"{target}/checkpoint",
+    )
+    return feeds.read_token_supply(spark.read.parquet(f"{target}/supply"))
+
+
+_register("stream_ada_rewards_by_type", _stream_rewards_by_type)
+_register("stream_token_supply", _stream_token_supply)
 _register(
     "pagerank",
     lambda s, d: _rounded(

@@ -492,6 +492,29 @@ PLAIN: dict[str, str] = {
     "address_stake_links": """
         select distinct o.address, s.view
         from tx_out o join stake_address s on s.id = o.stake_address_id""",
+    "co_spent_address_edges": """
+        select distinct x.id as src, y.id as dst from spent a
+        join spent b on a.spent_in = b.spent_in and a.address <> b.address
+        join (select row_number() over (order by md5(address), address) as id, address
+              from (select distinct address from tx_out)) x on x.address = a.address
+        join (select row_number() over (order by md5(address), address) as id, address
+              from (select distinct address from tx_out)) y on y.address = b.address""",
+    "address_neighbours": """
+        select src, count(*) as size, cast(1 as bigint) as parts from pairs group by src""",
+    "transaction_document_sizes": """
+        select t.id, coalesce(n_in, 0) as n_inputs, coalesce(n_out, 0) as n_outputs
+        from tx t left join shapes s on s.tx_id = t.id""",
+    "snapshots": """
+        select strftime(e.snapshot_ts, '%Y-%m-%d %H:%M:%S') as snapshot_ts, (select max(b.id) from block b
+                               where make_timestamp(b.time) < e.snapshot_ts) as cut_off
+        from (select unnest(generate_series(
+                min(make_timestamp(time)) + interval 4 month,
+                max(make_timestamp(time)) + interval 4 month, interval 4 month)) as snapshot_ts
+              from block) e""",
+    "stream_ada_rewards_by_type": """
+        select type, cast(sum(amount) as double) / 1000000 as "ADA_amount"
+        from reward group by type""",
+    "stream_token_supply": "select * from supply",
     "script_network": _script_network("true"),
     "plutus_network": _script_network("type = 'plutus'"),
     "timelock_network": _script_network("type = 'timelock'"),
@@ -515,9 +538,6 @@ PLAIN: dict[str, str] = {
     "adjacency_sizes": """
         select x as id, count(*) as neighbours from (
           select src as x, dst as y from pairs union select dst, src from pairs) group by x""",
-    "motif_mutual": """
-        select e1.src as a, e1.dst as b from pairs e1
-        join pairs e2 on e1.dst = e2.src and e1.src = e2.dst""",
     "triangles": """
         with link as materialized (
           select distinct least(src, dst) as a, greatest(src, dst) as b from pairs),
@@ -559,6 +579,9 @@ RECURSIVE: dict[str, str] = {
         select degree, count(*) as "count" from core_steps, core where k < k_best group by degree""",
     "entity_counts": """
         select count(distinct entity_id) as no_ent, count(*) as no_addr from entity""",
+    "motif_mutual": """
+        select e1.src as a, e1.dst as b from entity_link e1
+        join entity_link e2 on e1.dst = e2.src and e1.src = e2.dst""",
     "addresses_per_entity": """
         select n as value, count(*) as "count" from (
           select count(*) as n from entity group by entity_id) group by n""",
@@ -593,7 +616,83 @@ def _page_rank(start: str, base: str, key: str, total: str, columns: str) -> str
 
 _START = "select id, {rank} as rank, {base} as base from v"
 
+def _page_rank_to_tolerance(rounds: int = 60) -> str:
+    """Rounds up to the first that moves no rank by more than the tolerance; no rows
+    if that takes longer than ``rounds``."""
+    parts = [
+        "link as materialized (select src, dst from pairs)",
+        "w as materialized (select src, dst, 1.0::double / count(*) over (partition by src) as w from link)",
+        "r0 as materialized (select id, 1.0::double as rank from "
+        "(select src as id from link union select dst from link))",
+    ]
+    for i in range(1, rounds + 1):
+        parts.append(
+            f"r{i} as materialized (select r.id, 0.15 + 0.85 * coalesce(a.s, 0) as rank "
+            f"from r0 r left join (select w.dst as id, sum(r.rank * w.w) as s "
+            f"from r{i - 1} r join w on w.src = r.id group by w.dst) a on a.id = r.id)"
+        )
+    every = " union all ".join(
+        f"select {i} as nr, max(abs(a.rank - b.rank)) as moved "
+        f"from r{i} a join r{i - 1} b on a.id = b.id"
+        for i in range(1, rounds + 1)
+    )
+    parts.append(
+        f"last as (select min(nr) as nr from ({every}) where moved <= {catalog.PAGERANK_TOLERANCE})"
+    )
+    chosen = " union all ".join(
+        f"select id, rank from r{i} where (select nr from last) = {i}"
+        for i in range(1, rounds + 1)
+    )
+    parts.append(f"chosen as materialized ({chosen})")
+    return ", ".join(parts) + (
+        " select id, round(rank * (select count(*) from chosen) / (select sum(rank) from chosen), 6)"
+        " as pagerank from chosen"
+    )
+
+
+def _strong(rounds: int = 6) -> str:
+    """Strong components: smallest labels along and against the edges, then the edges
+    inside one class of labels again. ``rest`` counts edges left after the last round.
+    """
+    parts = ["e0 as materialized (select src, dst from entity_link)"]
+    for i in range(rounds):
+        # another order of the vertices in each round
+        order = f"(md5(id || '-{i}') || '-' || id)"
+        vertices = f"select src as id from e{i} union select dst from e{i}"
+        for name, here, there in [("f", "src", "dst"), ("b", "dst", "src")]:
+            parts.append(
+                f"{name}{i}(id, label) using key (id) as ("
+                f"select id, {order} as label from ({vertices}) union "
+                f"select e.{there}, min(l.label) from {name}{i} l join e{i} e on e.{here} = l.id "
+                f"join recurring.{name}{i} r on r.id = e.{there} "
+                f"where l.label < r.label group by e.{there})"
+            )
+        parts.append(
+            f"c{i} as materialized (select f.id, f.label as f, b.label as b "
+            f"from f{i} f join b{i} b on f.id = b.id)"
+        )
+        parts.append(
+            f"e{i + 1} as materialized (select e.src, e.dst from e{i} e "
+            f"join c{i} s on s.id = e.src join c{i} d on d.id = e.dst "
+            f"where s.f = d.f and s.b = d.b and s.f <> s.b)"
+        )
+    found = " union all ".join(
+        f"select id, '{i}-' || f as label from c{i} where f = b" for i in range(rounds)
+    )
+    parts.append(
+        "settled as materialized (select id, min(id) over (partition by label) as component "
+        f"from ({found}))"
+    )
+    parts.append(
+        "strong as materialized (select v.id, coalesce(s.component, v.id) as component "
+        "from (select src as id from entity_link union select dst from entity_link) v "
+        f"left join settled s on s.id = v.id where (select count(*) from e{rounds}) = 0)"
+    )
+    return ", ".join(parts)
+
+
 PAGE_RANK: dict[str, str] = {
+    "pagerank": _page_rank_to_tolerance(),
     "pagerank_fixed": _page_rank(
         _START.format(rank="1.0::double", base="0.15::double"),
         "",
@@ -625,6 +724,13 @@ PAGE_RANK: dict[str, str] = {
 }
 
 
+STRONG: dict[str, str] = {
+    "strong_components": "select id, component from strong",
+    "largest_scc": """
+        select max(n) as scc_size from (select count(*) as n from strong group by component)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     plain = {
         name: f"with {LEDGER}{',' if _is_with(body) else ''} {_strip_with(body)}"
@@ -634,7 +740,11 @@ def oracle_sql() -> dict[str, str]:
         name: f"with recursive {LEDGER}, {ENTITIES} {body}" for name, body in RECURSIVE.items()
     }
     ranks = {name: f"with {LEDGER}, {body}" for name, body in PAGE_RANK.items()}
-    return {**plain, **recursive, **ranks}
+    strong = {
+        name: f"with recursive {LEDGER}, {ENTITIES}, {_strong()} {body}"
+        for name, body in STRONG.items()
+    }
+    return {**plain, **recursive, **ranks, **strong}
 
 
 def _is_with(body: str) -> bool:

@@ -57,6 +57,11 @@ _DDL = {
 }
 
 
+def ddl(table: str) -> str:
+    """Schema of one table as text, usable before there is a session."""
+    return _DDL[table]
+
+
 def schema(table: str, columns: list[str] | None = None) -> StructType:
     """Schema of one table, narrowed to ``columns`` when given."""
     full = StructType.fromDDL(_DDL[table])

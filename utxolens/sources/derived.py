@@ -36,9 +36,14 @@ def _text(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
-def derived_ledger(spark: SparkSession, folder: str) -> Ledger:
-    def scan(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+def derived_ledger(
+    spark: SparkSession, folder: str, scan: Callable[[str], DataFrame] | None = None
+) -> Ledger:
+    """The ledger over the tables of ``folder``, or over what ``scan`` returns."""
+    if scan is None:
+
+        def scan(name: str) -> DataFrame:
+            return spark.read.parquet(f"{folder}/{name}.parquet")
 
     def part_id() -> Column:
         return F.col("p_partkey")
