@@ -71,8 +71,12 @@ def write_edges(
     )
     known = _read_if_present(edges.sparkSession, path)
     if known is not None:
-        earlier = known.filter(F.col("batch_id") != batch_id).select(*edges.columns)
-        kept = kept.join(earlier, edges.columns, "left_anti")
+        earlier = known.filter(F.col("batch_id") != batch_id).select(
+            *[F.col(name).alias(f"_{name}") for name in edges.columns]
+        )
+        # equal also where both are null
+        same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in edges.columns]
+        kept = kept.join(earlier, same, "left_anti")
     append_batch(kept, path, batch_id)
 
 

@@ -38,25 +38,22 @@ class WorkTables:
             f"{shared_folder(spark)}/utxolens/"
             f"{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         )
-        self._count = 0
+        self._paths: dict[int, str] = {}
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         """Write ``df`` as parquet and return a scan of it."""
-        self._count += 1
-        path = f"{self.folder}/{self._count:05d}-{label}"
+        path = f"{self.folder}/{len(self._paths):05d}-{label}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = path
+        return table
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of this folder that no later plan reads."""
-        for file in df.inputFiles()[:1]:
-            folder = file.rsplit("/", 1)[0]
-            if "/utxolens/" not in folder:
-                raise ValueError(f"not a work table: {folder}")
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-            path.getFileSystem(conf).delete(path, True)
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self._paths[id(df)])
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
