@@ -9,7 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from utxolens.plans.catalog import DATASETS  # noqa: E402
+from utxolens.plans.catalog import DATASETS, ingest  # noqa: E402
 from utxolens.session import build_session  # noqa: E402
 
 # The five refresh jobs first, then the network, its entities and their metrics.
@@ -58,7 +58,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     DATASETS["latest_block"](spark, folder).collect()  # start the executors
-    seconds = {}
+    started = time.time()
+    ingest(spark, folder)
+    seconds = {"ingest": round(time.time() - started, 3)}
     for name in HEADLINE:
         started = time.time()
         DATASETS[name](spark, folder).write.format("noop").mode("overwrite").save()

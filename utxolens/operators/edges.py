@@ -279,6 +279,18 @@ def associated_edges(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
+def numbered_outputs(tx_out: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Outputs with the number of their address as ``address``.
+
+    Graphs over numbers shuffle eight bytes per end instead of a whole address.
+    """
+    return (
+        tx_out.select("id", "tx_id", "idx", "address")
+        .join(numbers, "address")
+        .select("id", "tx_id", "idx", F.col("nr").alias("address"))
+    )
+
+
 def address_pairs(tx_in: DataFrame, tx_out: DataFrame) -> DataFrame:
     """Distinct (src, dst) of different addresses with a transaction between them."""
     inputs = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from utxolens.functions.amounts import long_sum, wide_sum
 from utxolens.functions.ranking import counts_before
+from utxolens.sources.storage import materialize
 
 # Fixed value: added to every balance before the Gini index is taken.
 GINI_EPSILON = 1e-7
@@ -183,7 +184,7 @@ def gini_index(balances: DataFrame, column: str = "balance") -> DataFrame:
     and the epsilon keeps an all-zero input defined.
     """
     value, count = F.col("value").cast("decimal(38,0)"), F.col("count").cast("decimal(38,0)")
-    hist = histogram(balances, column)
+    hist = materialize(histogram(balances, column), "histogram")
     ranked = counts_before(hist, "value", "count")
     n = hist.agg(F.sum("count")).scalar()
     run = 2 * F.col("before") + F.col("count") - n
@@ -225,7 +226,10 @@ def core_histogram(degrees: DataFrame, column: str = "degree") -> DataFrame:
     with k <= degree. In a run of equal degrees after ``before`` others that is
     the smaller of the degree and the last place of the run.
     """
-    hist = degrees.groupBy(F.col(column).alias("degree")).agg(F.count("*").alias("count"))
+    hist = materialize(
+        degrees.groupBy(F.col(column).alias("degree")).agg(F.count("*").alias("count")),
+        "histogram",
+    )
     ranked = counts_before(hist, "degree", "count", descending=True)
     last = F.least(F.col("before") + F.col("count") - 1, F.col("degree"))
     best = ranked.agg(F.max(F.when(F.col("before") <= F.col("degree"), last))).scalar()

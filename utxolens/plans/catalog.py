@@ -40,17 +40,9 @@ PAGERANK_ROUNDS = 10
 PAGERANK_TOLERANCE = 0.01
 
 
-def dataset(build: Callable[[Ledger], DataFrame]) -> Callable[[Ledger], DataFrame]:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        tune(spark)
-        return build(derived_ledger(spark, folder))
-
-    DATASETS[build.__name__] = run
-    return build
-
-
-# Entities and their graph are stored once per application and folder, as the
-# metrics of a snapshot all read the stored clustering.
+# Tables several datasets start from are written once per application and folder:
+# the ledger's outputs and spends, as an ingest would, and the entities and their
+# graph, since the metrics of a snapshot all read the stored clustering.
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -65,8 +57,41 @@ def stored(name: str, build: Callable[[SparkSession, str], DataFrame]) -> Datase
     return run
 
 
+stored_outputs = stored("outputs", lambda s, d: derived_ledger(s, d).outputs)
+stored_spends = stored(
+    "tx-in", lambda s, d: derived_ledger(s, d, {"outputs": lambda: stored_outputs(s, d)}).tx_in
+)
+
+
+def ledger_of(spark: SparkSession, folder: str) -> Ledger:
+    """The ledger with its two large tables read from where they were written."""
+    return derived_ledger(
+        spark,
+        folder,
+        {
+            "outputs": lambda: stored_outputs(spark, folder),
+            "tx_in": lambda: stored_spends(spark, folder),
+        },
+    )
+
+
+def ingest(spark: SparkSession, folder: str) -> None:
+    """Write the large ledger tables, if this application has not done so yet."""
+    stored_outputs(spark, folder)
+    stored_spends(spark, folder)
+
+
+def dataset(build: Callable[[Ledger], DataFrame]) -> Callable[[Ledger], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        tune(spark)
+        return build(ledger_of(spark, folder))
+
+    DATASETS[build.__name__] = run
+    return build
+
+
 def _entities(spark: SparkSession, folder: str) -> DataFrame:
-    ledger = derived_ledger(spark, folder)
+    ledger = ledger_of(spark, folder)
     return entities.entities(ledger.tx_out, ledger.tx_in)
 
 
@@ -74,7 +99,7 @@ stored_entities = stored("entities", _entities)
 
 
 def _entity_edges(spark: SparkSession, folder: str) -> DataFrame:
-    ledger = derived_ledger(spark, folder)
+    ledger = ledger_of(spark, folder)
     return entities.entity_edges(stored_entities(spark, folder), ledger.tx_out, ledger.tx_in)
 
 
@@ -82,7 +107,7 @@ stored_entity_edges = stored("entity-edges", _entity_edges)
 
 
 def _entity_balances(spark: SparkSession, folder: str) -> DataFrame:
-    ledger = derived_ledger(spark, folder)
+    ledger = ledger_of(spark, folder)
     lifetimes = network_metrics.output_lifetimes(ledger.tx, ledger.tx_in, ledger.tx_out)
     last_block = ledger.tx.agg(F.max("block_id")).scalar()
     return network_metrics.entity_balances(stored_entities(spark, folder), lifetimes, last_block)
@@ -91,9 +116,32 @@ def _entity_balances(spark: SparkSession, folder: str) -> DataFrame:
 stored_entity_balances = stored("entity-balances", _entity_balances)
 
 
-def _address_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    ledger = derived_ledger(spark, folder)
-    return edges.address_pairs(ledger.tx_in, ledger.tx_out)
+# Graph algorithms run over address numbers; names come back at the end.
+stored_numbers = stored(
+    "address-numbers", lambda s, d: entities.address_numbers(ledger_of(s, d).tx_out)
+)
+
+
+def _numbered_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    ledger = ledger_of(spark, folder)
+    numbered = edges.numbered_outputs(ledger.tx_out, stored_numbers(spark, folder))
+    return edges.address_pairs(ledger.tx_in, numbered)
+
+
+stored_pairs = stored("address-pairs", _numbered_pairs)
+
+
+def _named(
+    df: DataFrame, spark: SparkSession, folder: str, columns: tuple[str, ...] = ("id",)
+) -> DataFrame:
+    """``df`` with the address numbers in some columns replaced by the addresses."""
+    fields = df.columns
+    for column in columns:
+        names = stored_numbers(spark, folder).select(
+            F.col("nr").alias(column), F.col("address").alias(f"_{column}")
+        )
+        df = df.join(names, column).drop(column).withColumnRenamed(f"_{column}", column)
+    return df.select(*fields)
 
 
 # ------------------------------------------------------------ network
@@ -608,21 +656,6 @@ def latest_epoch(t):
     return graph_queries.latest_epoch(t.block)
 
 
-@dataset
-def in_degrees(t):
-    return graph_queries.in_degrees(edges.address_pairs(t.tx_in, t.tx_out))
-
-
-@dataset
-def adjacency_sizes(t):
-    return graph_queries.adjacency_sizes(edges.address_pairs(t.tx_in, t.tx_out))
-
-
-@dataset
-def triangles(t):
-    return graph_algorithms.triangle_count(edges.address_pairs(t.tx_in, t.tx_out))
-
-
 # ------------------------------------------------------------ change and entities
 
 
@@ -672,27 +705,33 @@ def _register(name: str, build: Dataset) -> None:
     DATASETS[name] = run
 
 
-def _degrees_of_entities(s, d):
-    return network_metrics.entity_degrees(stored_entities(s, d), stored_entity_edges(s, d))
+_degrees_of_entities = stored(
+    "entity-degrees",
+    lambda s, d: network_metrics.entity_degrees(stored_entities(s, d), stored_entity_edges(s, d)),
+)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("pagerank", F.round("pagerank", 6))
 
 
-def _first_addresses(spark: SparkSession, folder: str, k: int) -> list[str]:
-    """The k smallest source addresses, as page rank sources."""
-    ledger = derived_ledger(spark, folder)
-    smallest = (
-        utxo.tx_input_addresses(ledger.tx_out, ledger.tx_in)
-        .select("address")
-        .distinct()
-        .orderBy("address")
-        .limit(k)
-    )
-    return [row.address for row in smallest.collect()]
+def _first_sources(spark: SparkSession, folder: str, k: int) -> list[int]:
+    """The numbers of the k smallest source addresses, as page rank sources."""
+    sources = stored_pairs(spark, folder).select(F.col("src").alias("nr")).distinct()
+    smallest = sources.join(stored_numbers(spark, folder), "nr").orderBy("address").limit(k)
+    return [row.nr for row in smallest.collect()]
 
 
+_register(
+    "in_degrees", lambda s, d: _named(graph_queries.in_degrees(stored_pairs(s, d)), s, d)
+)
+_register(
+    "adjacency_sizes",
+    lambda s, d: _named(graph_queries.adjacency_sizes(stored_pairs(s, d)), s, d),
+)
+_register(
+    "triangles", lambda s, d: _named(graph_algorithms.triangle_count(stored_pairs(s, d)), s, d)
+)
 _register("entities", stored_entities)
 _register("entity_edges", stored_entity_edges)
 _register("entity_degrees", _degrees_of_entities)
@@ -764,31 +803,40 @@ _register("stream_ada_rewards_by_type", _stream_rewards_by_type)
 _register("stream_token_supply", _stream_token_supply)
 _register(
     "pagerank",
-    lambda s, d: _rounded(
-        graph_algorithms.pagerank(_address_pairs(s, d), tol=PAGERANK_TOLERANCE)
+    lambda s, d: _named(
+        _rounded(graph_algorithms.pagerank(stored_pairs(s, d), tol=PAGERANK_TOLERANCE)), s, d
     ),
 )
 _register(
     "pagerank_fixed",
-    lambda s, d: _rounded(
-        graph_algorithms.pagerank(_address_pairs(s, d), max_iter=PAGERANK_ROUNDS)
+    lambda s, d: _named(
+        _rounded(graph_algorithms.pagerank(stored_pairs(s, d), max_iter=PAGERANK_ROUNDS)), s, d
     ),
 )
 _register(
     "pagerank_personal",
-    lambda s, d: _rounded(
-        graph_algorithms.pagerank(
-            _address_pairs(s, d),
-            max_iter=PAGERANK_ROUNDS,
-            source=_first_addresses(s, d, 1)[0],
-        )
+    lambda s, d: _named(
+        _rounded(
+            graph_algorithms.pagerank(
+                stored_pairs(s, d),
+                max_iter=PAGERANK_ROUNDS,
+                source=_first_sources(s, d, 1)[0],
+            )
+        ),
+        s,
+        d,
     ),
 )
 _register(
     "pagerank_parallel",
-    lambda s, d: _rounded(
-        graph_algorithms.parallel_personalized_pagerank(
-            _address_pairs(s, d), _first_addresses(s, d, 4), PAGERANK_ROUNDS
-        )
+    lambda s, d: _named(
+        _rounded(
+            graph_algorithms.parallel_personalized_pagerank(
+                stored_pairs(s, d), _first_sources(s, d, 4), PAGERANK_ROUNDS
+            )
+        ),
+        s,
+        d,
+        ("id", "source_id"),
     ),
 )

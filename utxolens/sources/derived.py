@@ -37,9 +37,15 @@ def _text(prefix: str, number: Column) -> Column:
 
 
 def derived_ledger(
-    spark: SparkSession, folder: str, scan: Callable[[str], DataFrame] | None = None
+    spark: SparkSession,
+    folder: str,
+    written: dict[str, Callable[[], DataFrame]] | None = None,
+    scan: Callable[[str], DataFrame] | None = None,
 ) -> Ledger:
-    """The ledger over the tables of ``folder``, or over what ``scan`` returns."""
+    """The ledger over the tables of ``folder``, or over what ``scan`` returns.
+
+    Tables named in ``written`` are taken from there instead of being derived.
+    """
     if scan is None:
 
         def scan(name: str) -> DataFrame:
@@ -247,5 +253,5 @@ def derived_ledger(
         treasury, withdrawal, redeemer, script, datum, multi_asset, ma_tx_mint, ma_tx_out,
         tx_metadata,
     ]
-    ledger = Ledger({builder.__name__: builder for builder in builders})
+    ledger = Ledger({builder.__name__: builder for builder in builders} | (written or {}))
     return ledger
