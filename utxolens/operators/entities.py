@@ -75,7 +75,8 @@ def entities(tx_out: DataFrame, tx_in: DataFrame, as_coded: bool = False) -> Dat
     work = WorkTables(tx_out.sparkSession, "entities")
     spends = work.write(output_spends(tx_out, tx_in), "spends")
     numbers = work.write(address_numbers(spends), "numbers")
-    members = work.write(cluster_members(spends, all_change(spends, as_coded)), "members")
+    change = work.write(all_change(spends, as_coded), "change")
+    members = work.write(cluster_members(spends, change), "members")
     return assign_entities(numbers, member_links(members, numbers))
 
 

@@ -67,9 +67,8 @@ def _large_star(links: DataFrame) -> DataFrame:
     centre = smallest.select(
         F.col("node").alias("low"), F.least("node", "other").alias("centre")
     )
-    return (
-        links.join(centre, "low").select("high", F.col("centre").alias("low")).distinct()
-    )
+    # repeats are left to the small-star step that follows
+    return links.join(centre, "low").select("high", F.col("centre").alias("low"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:

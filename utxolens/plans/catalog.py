@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from utxolens.operators import (
     accounts,
@@ -43,7 +44,7 @@ PAGERANK_TOLERANCE = 0.01
 # Tables several datasets start from are written once per application and folder:
 # the ledger's outputs and spends, as an ingest would, and the entities and their
 # graph, since the metrics of a snapshot all read the stored clustering.
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def stored(name: str, build: Callable[[SparkSession, str], DataFrame]) -> Dataset:
@@ -51,8 +52,11 @@ def stored(name: str, build: Callable[[SparkSession, str], DataFrame]) -> Datase
         tune(spark)
         key = (spark.sparkContext.applicationId, folder, name)
         if key not in _STORED:
-            _STORED[key] = materialize(build(spark, folder), name)
-        return _STORED[key]
+            work = WorkTables(spark, name)
+            table = work.write(build(spark, folder), "table")
+            _STORED[key] = work.path(table), table.schema
+        path, fields = _STORED[key]
+        return spark.read.schema(fields).parquet(path)
 
     return run
 

@@ -48,10 +48,14 @@ class WorkTables:
         self._paths[id(table)] = path
         return table
 
+    def path(self, table: DataFrame) -> str:
+        """Where a table of this job was written."""
+        return self._paths[id(table)]
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table of this folder that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._paths[id(df)])
+        path = jvm.org.apache.hadoop.fs.Path(self.path(df))
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         path.getFileSystem(conf).delete(path, True)
 
