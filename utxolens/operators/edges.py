@@ -291,20 +291,21 @@ def numbered_outputs(tx_out: DataFrame, numbers: DataFrame) -> DataFrame:
     )
 
 
-def address_pairs(tx_in: DataFrame, tx_out: DataFrame) -> DataFrame:
-    """Distinct (src, dst) of different addresses with a transaction between them."""
+def address_pairs(tx_in: DataFrame, tx_out: DataFrame, different_ends: bool = True) -> DataFrame:
+    """Distinct (src, dst) of addresses with a transaction between them.
+
+    ``different_ends=False`` keeps an address that pays itself.
+    """
     inputs = (
         spent_outputs(tx_out, tx_in)
         .select(F.col("spent_in").alias("tx_id"), F.col("address").alias("src"))
         .distinct()
     )
     outputs = tx_out.select("tx_id", F.col("address").alias("dst")).distinct()
-    return (
-        inputs.join(outputs, "tx_id")
-        .filter(F.col("src") != F.col("dst"))
-        .select("src", "dst")
-        .distinct()
-    )
+    pairs = inputs.join(outputs, "tx_id").select("src", "dst")
+    if different_ends:
+        pairs = pairs.filter(F.col("src") != F.col("dst"))
+    return pairs.distinct()
 
 
 def neighbour_sets(pairs: DataFrame, node: str, neighbour: str, max_size: int = 120_000) -> DataFrame:

@@ -22,11 +22,11 @@ from utxolens.operators import (
     utxo,
 )
 from utxolens.session import tune
-from utxolens.streaming import entity_state, feeds
+from utxolens.streaming import entity_state, feeds, incremental
 from utxolens.sources.derived import Ledger, derived_ledger
 from utxolens.sources.sinks import append_batch
 from utxolens.sources.storage import WorkTables, materialize
-from utxolens.sources.streams import file_stream
+from utxolens.sources.streams import file_stream, parsed_messages
 
 Dataset = Callable[[SparkSession, str], DataFrame]
 DATASETS: dict[str, Dataset] = {}
@@ -225,10 +225,15 @@ def addresses(t):
     return utxo.addresses(t.tx_out)
 
 
+def _early_txs(t):
+    """The first half of the transactions."""
+    middle = t.tx.agg(F.floor(F.max("id") / 2)).scalar()
+    return t.tx.filter(F.col("id") <= middle).select(F.col("id").alias("tx_id"))
+
+
 def _known_addresses(t):
     """Addresses paid in the first half of the transactions."""
-    middle = t.tx.agg(F.floor(F.max("id") / 2)).scalar()
-    return utxo.addresses(t.tx_out.filter(F.col("tx_id") <= middle))
+    return utxo.addresses(t.tx_out.join(_early_txs(t), "tx_id", "left_semi"))
 
 
 @dataset
@@ -574,13 +579,6 @@ def co_spent_address_edges(t):
     return edges.associated_edges(pairs, utxo.address_ids(t.tx_out))
 
 
-@dataset
-def address_neighbours(t):
-    """Sizes of the neighbour sets of each source address."""
-    sets = edges.neighbour_sets(edges.address_pairs(t.tx_in, t.tx_out), "src", "dst")
-    return sets.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("parts"))
-
-
 @dataset
 def transaction_document_sizes(t):
     """Lengths of the nested inputs and outputs of each transaction."""
@@ -591,6 +589,53 @@ def transaction_document_sizes(t):
     )
 
 
+@dataset
+def network_edge_table(t):
+    return graph_queries.network_edge_table(t.tx, t.tx_in, t.tx_out)
+
+
+@dataset
+def weighted_edges(t):
+    return graph_queries.weighted_edges(utxo.network_pairs(t.tx, t.tx_in, t.tx_out))
+
+
+@dataset
+def id_edges(t):
+    return edges.id_edges(network_with_ids(t))
+
+
+@dataset
+def new_address_ids(t):
+    """Ids of the new addresses, following those of the known ones."""
+    known = utxo.address_ids(t.tx_out.join(_early_txs(t), "tx_id", "left_semi"))
+    return incremental.address_increment({"tx_out": t.tx_out}, known)
+
+
+@dataset
+def network_increment(t):
+    """Network rows of the later transactions, as an increment after the earlier."""
+    late = lambda df, key: df.join(
+        _early_txs(t).withColumnRenamed("tx_id", key), key, "left_anti"
+    ).select(*df.columns)
+    delta = {"tx": late(t.tx, "id"), "tx_in": late(t.tx_in, "tx_in_id"), "tx_out": late(t.tx_out, "tx_id")}
+    return incremental.network_increment(delta, t.tx, t.tx_in, t.tx_out)
+
+
+@dataset
+def entities_incremental(t):
+    """Entities of the earlier transactions, carried on through the later ones."""
+    early = _early_txs(t)
+    state = entity_state.full_state(
+        t.tx_out.join(early, "tx_id", "left_semi").select(*t.tx_out.columns),
+        t.tx_in.join(early.withColumnRenamed("tx_id", "tx_in_id"), "tx_in_id", "left_semi").select(
+            *t.tx_in.columns
+        ),
+    )
+    spends = materialize(change.output_spends(t.tx_out, t.tx_in), "spends")
+    late = t.tx.select(F.col("id").alias("tx_id")).join(early, "tx_id", "left_anti")
+    return entity_state.update_entities(*state, spends, late)[0]
+
+
 @dataset
 def snapshots(t):
     ends = entity_state.snapshot_cut_offs(t.block)
@@ -690,6 +735,12 @@ def change_peeling(t):
     return change.change_peeling(spends, change.transaction_shapes(spends))
 
 
+@dataset
+def other_outputs(t):
+    spends = _spends(t)
+    return entities.other_outputs(spends, change.all_change(spends)).select("id", "tx_id", "address")
+
+
 @dataset
 def change_final(t):
     return change.all_change(_spends(t))
@@ -803,6 +854,66 @@ def _stream_token_supply(spark: SparkSession, folder: str) -> DataFrame:
     return feeds.read_token_supply(spark.read.parquet(f"{target}/supply"))
 
 
+def _stream_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as JSON messages in a stream, parsed again and read back."""
+    target = WorkTables(spark, "stream-messages").folder
+    messages = _stream(spark, folder, "events").select(
+        F.to_json(F.struct("event_id", "user_id", "event_type")).alias("value")
+    )
+    fields = StructType.fromDDL("event_id bigint, user_id bigint, event_type string")
+    feeds.drain(
+        parsed_messages(messages, fields),
+        lambda batch, batch_id: append_batch(batch, f"{target}/events", batch_id),
+        f"{target}/checkpoint",
+    )
+    return spark.read.parquet(f"{target}/events").drop("batch_id")
+
+
+def _address_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of the neighbour sets: who each address pays and who pays it."""
+    ledger = ledger_of(spark, folder)
+    numbered = edges.numbered_outputs(ledger.tx_out, stored_numbers(spark, folder))
+    pairs = materialize(
+        edges.address_pairs(ledger.tx_in, numbered, different_ends=False), "neighbours"
+    )
+
+    def sizes(node: str, neighbour: str, side: str) -> DataFrame:
+        sets = edges.neighbour_sets(pairs, node, neighbour)
+        return sets.groupBy(F.col(node).alias("id")).agg(
+            F.lit(side).alias("side"), F.sum("size").alias("size")
+        )
+
+    both = sizes("src", "dst", "outputs").unionByName(sizes("dst", "src", "inputs"))
+    return _named(both, spark, folder)
+
+
+def _balance_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Entity balances at four blocks."""
+    ledger = ledger_of(spark, folder)
+    last = ledger.tx.agg(F.max("block_id")).first()[0]
+    lifetimes = network_metrics.output_lifetimes(ledger.tx, ledger.tx_in, ledger.tx_out)
+    cut_offs = [last * quarter // 4 for quarter in (1, 2, 3, 4)]
+    return network_metrics.balance_series(lifetimes, stored_entities(spark, folder), cut_offs)
+
+
+def _series_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratios of the snapshot at the last block."""
+    last = ledger_of(spark, folder).tx.agg(F.max("block_id")).scalar()
+    stamped = [
+        df.withColumn("snapshot_ts", last)
+        for df in (
+            network_metrics.entity_counts(stored_entities(spark, folder)),
+            network_metrics.core_size(_degrees_of_entities(spark, folder)),
+            graph_algorithms.largest_scc(stored_entity_edges(spark, folder)),
+        )
+    ]
+    return network_metrics.series_ratios(*stamped)
+
+
+_register("stream_messages", _stream_messages)
+_register("address_neighbours", _address_neighbours)
+_register("balance_series", _balance_series)
+_register("series_ratios", _series_ratios)
 _register("stream_ada_rewards_by_type", _stream_rewards_by_type)
 _register("stream_token_supply", _stream_token_supply)
 _register(

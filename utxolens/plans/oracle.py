@@ -499,8 +499,6 @@ PLAIN: dict[str, str] = {
               from (select distinct address from tx_out)) x on x.address = a.address
         join (select row_number() over (order by md5(address), address) as id, address
               from (select distinct address from tx_out)) y on y.address = b.address""",
-    "address_neighbours": """
-        select src, count(*) as size, cast(1 as bigint) as parts from pairs group by src""",
     "transaction_document_sizes": """
         select t.id, coalesce(n_in, 0) as n_inputs, coalesce(n_out, 0) as n_outputs
         from tx t left join shapes s on s.tx_id = t.id""",
@@ -515,6 +513,35 @@ PLAIN: dict[str, str] = {
         select type, cast(sum(amount) as double) / 1000000 as "ADA_amount"
         from reward group by type""",
     "stream_token_supply": "select * from supply",
+    "address_neighbours": """
+        with p as (select distinct s.address as src, o.address as dst
+                   from spent s join tx_out o on o.tx_id = s.spent_in)
+        select src as id, 'outputs' as side, count(*) as size from p group by src
+        union all select dst, 'inputs', count(*) from p group by dst""",
+    "network_edge_table": f"select {_NETWORK_COLUMNS} from network",
+    "weighted_edges": """
+        select s.address as src, o.address as dst, s.value / 1000000 as weight
+        from spent s join tx t on t.id = s.spent_in join tx_out o on o.tx_id = t.id
+        where s.address <> o.address""",
+    "id_edges": """
+        with ids as (select row_number() over (order by md5(address), address) as id, address
+                     from (select distinct address from tx_out))
+        select a.id as src, b.id as dst, n.tx_hash, n.tx_id, n.ada_in as input, n.ada_out as output
+        from network n join ids a on a.address = n.src join ids b on b.address = n.dst""",
+    "new_address_ids": """
+        with known as (select distinct address from tx_out
+                       where tx_id <= (select floor(max(id) / 2) from tx))
+        select (select count(*) from known) + row_number() over (order by md5(address), address)
+                 as id, address
+        from (select distinct address from tx_out
+              where address not in (select address from known))""",
+    "network_increment": """
+        select tx_hash, src as input_addr, dst as output_addr, ada_in as "input_ADA_value",
+               ada_out as "output_ADA_value" from network
+        where tx_id > (select floor(max(id) / 2) from tx)""",
+    "other_outputs": """
+        select id, tx_id, address from tx_out where id not in (select out_id from change)""",
+    "stream_messages": "select event_id, user_id, event_type from events",
     "script_network": _script_network("true"),
     "plutus_network": _script_network("type = 'plutus'"),
     "timelock_network": _script_network("type = 'timelock'"),
@@ -558,6 +585,17 @@ PLAIN: dict[str, str] = {
 }
 
 RECURSIVE: dict[str, str] = {
+    "entities_incremental": "select address, entity_id from entity",
+    "balance_series": """
+        select c.cut_off, e.entity_id, cast(coalesce(sum(o.value) filter (
+                 where t.block_id <= c.cut_off
+                   and (i.tx_in_id is null or s.block_id >= c.cut_off)), 0) as bigint) as balance
+        from entity e join tx_out o using (address) join tx t on t.id = o.tx_id
+        left join tx_in i on i.tx_out_id = o.tx_id and i.tx_out_index = o.idx
+        left join tx s on s.id = i.tx_in_id
+        cross join (select cast(floor(max(block_id) * q / 4) as bigint) as cut_off
+                    from tx, (select unnest([1, 2, 3, 4]) as q) group by q) c
+        group by c.cut_off, e.entity_id""",
     "entities": "select address, entity_id from entity",
     "entity_edges": "select * from entity_link",
     "entity_degrees": "select * from entity_degree",
@@ -726,6 +764,12 @@ PAGE_RANK: dict[str, str] = {
 
 STRONG: dict[str, str] = {
     "strong_components": "select id, component from strong",
+    "series_ratios": """
+        select (select max(block_id) from tx) as snapshot_ts,
+               (select count(*) / count(distinct entity_id) from entity) as addresses_per_entity,
+               (select k_best / (select count(*) from entity_degree) from core) as core_share,
+               (select max(n) from (select count(*) as n from strong group by component))
+                 / (select count(*) from entity_degree) * 100 as scc_percent""",
     "largest_scc": """
         select max(n) as scc_size from (select count(*) as n from strong group by component)""",
 }
