@@ -74,6 +74,14 @@ def test_totals_are_limited_before_they_are_sorted(spark):
     assert "TakeOrderedAndProject" in plan(graph_queries.top_by_degree(degrees, "degree"))
 
 
+def test_work_tables_never_share_a_path(spark):
+    work = storage.WorkTables(spark, "test")
+    for i in range(4):
+        # the table before is no longer referred to
+        table = work.write(spark.range(i), "rows")
+    assert work.path(table).endswith("00003-rows") and table.count() == 3
+
+
 def test_work_tables_use_the_shared_folder(spark, tmp_path):
     assert storage.shared_folder(spark) == storage.shared_folder(spark)
     work = storage.WorkTables(spark, "test")

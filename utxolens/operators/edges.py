@@ -140,9 +140,13 @@ def address_stake_links(tx_out: DataFrame, stake_address: DataFrame) -> DataFram
 def paid_withdrawals(
     withdrawal: DataFrame, tx: DataFrame, tx_out: DataFrame, stake_address: DataFrame
 ) -> DataFrame:
-    """Withdrawals whose transaction pays an address of the withdrawing account."""
+    """Withdrawals whose transaction pays an address of the withdrawing account.
+
+    Only outputs of transactions with a withdrawal meet the matched addresses.
+    """
     accounts_paid = (
         tx_out.select("tx_id", "address")
+        .join(withdrawal.select("tx_id"), "tx_id", "left_semi")
         .distinct()
         .join(matched_addresses(tx_out, stake_address), "address")
         .select("tx_id", "stake_address_id")
@@ -213,9 +217,10 @@ def token_edges(
         .join(names, "ident")
         .drop("ident")
     )
+    # outputs with tokens, before either side is looked up
+    holding = tx_out.select("id", "tx_id", "idx", "address", "value").join(carried, "id")
     spent = (
-        spent_outputs(tx_out, tx_in)
-        .join(carried, "id")
+        spent_outputs(holding, tx_in)
         .groupBy(
             F.col("spent_in").alias("tx_id"),
             "token",
@@ -224,12 +229,9 @@ def token_edges(
         )
         .agg(long_sum("quantity").alias("quantity"))
     )
-    made = (
-        tx_out.select("id", "tx_id", F.col("address").alias("dst"), F.col("value").alias("output_value"))
-        .join(carried.select("id", "token"), "id")
-        .select("tx_id", "token", "dst", "output_value")
-        .distinct()
-    )
+    made = holding.select(
+        "tx_id", "token", F.col("address").alias("dst"), F.col("value").alias("output_value")
+    ).distinct()
     hashes = tx.select(F.col("id").alias("tx_id"), F.col("hash").alias("tx_hash"))
     return (
         spent.join(made, ["tx_id", "token"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,19 +39,21 @@ class WorkTables:
             f"{shared_folder(spark)}/utxolens/"
             f"{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         )
-        self._paths: dict[int, str] = {}
+        self._written = 0
+        self._paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         """Write ``df`` as parquet and return a scan of it."""
-        path = f"{self.folder}/{len(self._paths):05d}-{label}"
+        path = f"{self.folder}/{self._written:05d}-{label}"
+        self._written += 1
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(table)] = path
+        self._paths[table] = path
         return table
 
     def path(self, table: DataFrame) -> str:
         """Where a table of this job was written."""
-        return self._paths[id(table)]
+        return self._paths[table]
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of this folder that no later plan reads."""
