@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utxolens.llm import packing, token_counts, token_files
+from utxolens.llm import packing, secrets, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,3 +61,33 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(
         table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model")
     )
+
+
+def joined_spans(spans: str) -> Column:
+    """kind:start:end of an array of (kind, start, end), joined by commas."""
+    return F.array_join(
+        F.transform(
+            spans,
+            lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
+        ),
+        ",",
+    )
+
+
+@query
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents")).select(
+        "doc_id", F.arrays_zip("kind", "start", "end").alias("spans")
+    )
+    base = found.withColumn("base", F.filter("spans", lambda s: s["kind"] != secrets.ADDED))
+
+    def number(kind: str):
+        own = F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+        return own.alias(f"n_{kind}")
+
+    return base.select(
+        "doc_id",
+        *[number(kind) for kind in secrets.KINDS],
+        F.sha2(joined_spans("base"), 256).alias("base_sha256"),
+        joined_spans("spans").alias("spans"),
+    )
