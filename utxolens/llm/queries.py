@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utxolens.llm import packing, secrets, token_counts, token_files
+from utxolens.llm import packing, secrets, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined_spans("base"), 256).alias("base_sha256"),
         joined_spans("spans").alias("spans"),
     )
+
+
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
