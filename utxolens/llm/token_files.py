@@ -57,26 +57,35 @@ DOCUMENTS = pa.schema(
 )
 
 
+_BITS_OF_16 = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
+
+
 def bit_lengths(values: np.ndarray) -> np.ndarray:
-    """Bits needed for each number; 0 for 0."""
-    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    """Bits needed for each unsigned 32-bit number; 0 for 0."""
+    if not len(values) or values.max() < 1 << 16:
+        return _BITS_OF_16[values]
+    high = values >> np.uint32(16)
+    return np.where(high > 0, _BITS_OF_16[high] + 16, _BITS_OF_16[values & np.uint32(0xFFFF)]).astype(
+        np.uint8
+    )
 
 
 def _low_bits(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of numbers as rows of bytes with ``width`` bits a number."""
-    rows = len(values)
-    bits = np.unpackbits(
-        values.astype("<u4").view(np.uint8).reshape(rows, -1, 4), axis=2, bitorder="little"
-    )
-    return np.packbits(bits[:, :, :width].reshape(rows, -1), axis=1, bitorder="little")
+    rows, size = len(values), 2 if width <= 16 else 4
+    narrow = np.ascontiguousarray(values.astype(f"<u{size}")).view(np.uint8)
+    bits = np.unpackbits(narrow.ravel(), bitorder="little").reshape(-1, 8 * size)[:, :width]
+    return np.packbits(np.ascontiguousarray(bits).ravel(), bitorder="little").reshape(rows, -1)
 
 
 def _from_low_bits(data: np.ndarray, width: int, block: int) -> np.ndarray:
     rows = len(data)
-    bits = np.unpackbits(data, axis=1, bitorder="little", count=block * width)
-    wide = np.zeros((rows, block, 32), np.uint8)
-    wide[:, :, :width] = bits.reshape(rows, block, width)
-    return np.packbits(wide.reshape(rows, -1), axis=1, bitorder="little").view("<u4")
+    size = 2 if width <= 16 else 4
+    bits = np.unpackbits(np.ascontiguousarray(data).ravel(), bitorder="little")
+    whole = np.zeros((rows * block, 8 * size), np.uint8)
+    whole[:, :width] = bits.reshape(-1, width)
+    packed = np.packbits(whole.ravel(), bitorder="little")
+    return packed.view(f"<u{size}").reshape(rows, block).astype("<u4")
 
 
 def encode_segment(
