@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utxolens.llm import packing, secrets, token_counts, token_files, toxicity
+from utxolens.llm import decontaminate, packing, secrets, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,3 +96,35 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
+def _duck_words(name: str, key: str) -> str:
+    return rf"""
+        SELECT {key}, list_filter(
+            regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), x -> x <> ''
+        ) AS w FROM {name}"""
+
+
+def _duck_shingles(name: str, key: str) -> str:
+    return f"""
+        SELECT DISTINCT {key}, unnest(list_transform(
+            range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s
+        FROM ({_duck_words(name, key)}) WHERE len(w) >= 5"""
+
+
+ORACLE_SQL["op5_decontamination"] = f"""
+    WITH d AS ({_duck_shingles("documents", "doc_id")}),
+    i AS ({_duck_shingles("benchmark", "item_id")}),
+    n AS (SELECT item_id, count(*) AS shingles FROM i GROUP BY item_id)
+    SELECT doc_id, item_id, count(*) AS matched, any_value(shingles) AS shingles,
+           count(*) / any_value(shingles) AS containment
+    FROM d JOIN i USING (s) JOIN n USING (item_id)
+    GROUP BY doc_id, item_id
+    HAVING count(*) >= {decontaminate.THRESHOLD} * any_value(shingles) - 1e-9"""
