@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utxolens.llm import decontaminate, packing, secrets, token_counts, token_files, toxicity
+from utxolens.llm import decontaminate, packing, pii, secrets, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -128,3 +128,21 @@ ORACLE_SQL["op5_decontamination"] = f"""
     FROM d JOIN i USING (s) JOIN n USING (item_id)
     GROUP BY doc_id, item_id
     HAVING count(*) >= {decontaminate.THRESHOLD} * any_value(shingles) - 1e-9"""
+
+
+@query
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_pii(table(spark, folder, "documents")).withColumn(
+        "spans", F.concat("base", "added")
+    )
+
+    def number(kind: str):
+        own = F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+        return own.alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[number(kind) for kind in pii.KINDS],
+        F.sha2(joined_spans("base"), 256).alias("base_sha256"),
+        joined_spans("spans").alias("spans"),
+    )
