@@ -314,10 +314,15 @@ def redact(docs: DataFrame, classifier: SpanClassifier | None = None) -> DataFra
     ``n_chars``, if there is such a column, becomes the new length. Overlapping spans are
     one replacement, named after the first. A null text stays null.
     """
-    spans = with_spans(docs)
+    # the row travels as one value, whatever its columns are called
+    doc_id = F.col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    rows = docs.select(
+        F.struct("*").alias("row"), doc_id.alias("doc_id"), F.col("text").cast("string").alias("text")
+    )
+    spans = with_spans(rows)
     model = fit(spans, docs.count()) if classifier is None else classifier
     found = spans.withColumn(
-        "_spans",
+        "found",
         F.array_sort(
             F.transform(
                 F.concat("base", F.filter("loose", model.keeps)),
@@ -337,15 +342,17 @@ def redact(docs: DataFrame, classifier: SpanClassifier | None = None) -> DataFra
         )
 
     rest = F.aggregate(
-        "_spans",
+        "found",
         none,
         cut,
         lambda state: F.concat(state["done"], F.col("text").substr(state["at"] + 1, F.length("text"))),
     )
-    text = F.when(F.size("_spans") > 0, rest).otherwise(F.col("text"))
+    text = F.when(F.size("found") > 0, rest).otherwise(F.col("text"))
     columns = {"text": text}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.size("_spans") > 0, F.length(text).cast("long")).otherwise(
-            F.col("n_chars")
+        columns["n_chars"] = F.when(F.size("found") > 0, F.length(text).cast("long")).otherwise(
+            F.col("row")["n_chars"]
         )
-    return found.select(*[columns.get(name, F.col(name)).alias(name) for name in docs.columns])
+    return found.select(
+        *[columns.get(name, F.col("row")[name]).alias(name) for name in docs.columns]
+    )

@@ -277,6 +277,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Toxici
     return model
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
+    """The documents that are not predicted toxic, all columns as they are."""
+    model = fit(docs, labels) if model is None else model
+    # the row travels as one value, whatever its columns are called
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return model.score(rows).filter(F.col("score") < 0.5).select("row.*")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text.
 
