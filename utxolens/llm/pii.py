@@ -348,11 +348,14 @@ def redact(docs: DataFrame, classifier: SpanClassifier | None = None) -> DataFra
         lambda state: F.concat(state["done"], F.col("text").substr(state["at"] + 1, F.length("text"))),
     )
     text = F.when(F.size("found") > 0, rest).otherwise(F.col("text"))
-    columns = {"text": text}
+    done = found.select("row", F.col("text").alias("old"), text.alias("text"))
+    columns = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.size("found") > 0, F.length(text).cast("long")).otherwise(
+        # counted in a plan step of its own: the text is not worked out twice
+        changed = ~F.col("text").eqNullSafe(F.col("old"))
+        columns["n_chars"] = F.when(changed, F.length("text").cast("long")).otherwise(
             F.col("row")["n_chars"]
         )
-    return found.select(
+    return done.select(
         *[columns.get(name, F.col("row")[name]).alias(name) for name in docs.columns]
     )
