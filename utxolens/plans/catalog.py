@@ -33,9 +33,9 @@ DATASETS: dict[str, Dataset] = {}
 
 # Parameters of the datasets that ask for one object.
 STAKE_VIEW = "stake8"
-POOL_VIEW = "Supplier#000000003"
-EPOCH = 20
-TX_HASH = "tx120"
+POOL_VIEW = "Supplier#000000005"
+EPOCH = 1
+TX_HASH = "txda4fb5c6e93e74d3df8527599fa62642"  # of order 120
 SLICE = (100, 900)
 PAGERANK_ROUNDS = 10
 PAGERANK_TOLERANCE = 0.01

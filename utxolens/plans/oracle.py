@@ -7,23 +7,29 @@ from utxolens.plans import catalog
 # The derived ledger, one common table expression per table.
 LEDGER = r"""
 tx as (
-  select o_orderkey as id, 'tx' || o_orderkey as hash,
+  select o_orderkey as id, 'tx' || md5(cast(o_orderkey as varchar)) as hash,
          cast(floor(o_orderkey / 8) as bigint) as block_id,
          cast(round(o_totalprice) as bigint) as fee
   from orders),
 block as (
-  select block_id as id, block_id as block_no, 'blk' || block_id as hash,
+  select block_id as id, block_id + 3 as block_no, 'blk' || block_id as hash,
          cast(floor(block_id / 4) as bigint) as epoch_no, block_id * 20 as slot_no,
          count(*) as tx_count, 788918400000000 + block_id * 108000000000 as time,
-         block_id % 10 as slot_leader_id
+         block_id as slot_leader_id
   from tx group by block_id),
-slot_leader as (select s_suppkey as id, s_suppkey as pool_hash_id from supplier),
+slot_leader as (select c_custkey as id, c_custkey as pool_hash_id from customer),
 pool_hash as (select s_suppkey as id, s_name as view from supplier),
-stake_address as (select p_partkey as id, 'stake' || p_partkey as view from part),
+stake_address as (
+  select p_partkey as id, 'stake' || p_partkey as view from part
+  union all select -1 - s_suppkey, 'earner' || s_suppkey from supplier),
 outputs as (
   select l_orderkey * 10 + l_linenumber as id, l_orderkey as tx_id, l_linenumber as idx,
-         'addr' || min(l_partkey * 100 + l_suppkey) as address,
-         'raw' || min(l_partkey * 100 + l_suppkey) as address_raw,
+         'addr' || case when l_linenumber = 1 and min(l_partkey) % 3 = 0
+           then 'w' || cast(floor(l_orderkey / 16) as bigint)
+           else cast(min(l_partkey * 100 + l_suppkey) as varchar) end as address,
+         'raw' || case when l_linenumber = 1 and min(l_partkey) % 3 = 0
+           then 'w' || cast(floor(l_orderkey / 16) as bigint)
+           else cast(min(l_partkey * 100 + l_suppkey) as varchar) end as address_raw,
          min(l_partkey) as stake_address_id, min(l_suppkey) as supp,
          cast(sum(cast(round(l_extendedprice * 100) as bigint)) as bigint) as value
   from lineitem group by l_orderkey, l_linenumber),
@@ -31,16 +37,18 @@ tx_out as (
   select id, tx_id, idx, address, address_raw, stake_address_id, value from outputs),
 tx_in as (
   select o.id, t.id as tx_in_id, o.tx_id as tx_out_id, o.idx as tx_out_index,
-         case when o.stake_address_id % 20 = 0 then o.id end as redeemer_id
+         case when o.stake_address_id % 2 = 0 then o.id end as redeemer_id
   from outputs o join tx t on t.id = o.tx_id + 1 + (o.stake_address_id + o.idx) % 11
   where o.supp % 4 <> 0),
 reward as (
-  select event_id as id, user_id as addr_id,
-         case when event_id % 10 <> 0 then event_id % 10 end as pool_id,
-         cast(day(ts) as bigint) as earned_epoch,
+  select event_id as id,
+         case when event_type = 'purchase' then -1 - user_id else user_id end as addr_id,
+         case when event_type <> 'error' then user_id end as pool_id,
+         date_diff('day', date '2024-01-01', cast(ts as date)) as earned_epoch,
          cast(round(value * 1000000) as bigint) as amount,
-         case when event_type = 'view' then 'member' else 'leader' end as type
-  from events where event_type in ('view', 'purchase')),
+         case event_type when 'view' then 'member' when 'purchase' then 'leader'
+           else event_type end as type
+  from events where event_type <> 'signup'),
 treasury as (
   select event_id as id, user_id as addr_id, cast(round(value * 1000000) as bigint) as amount
   from events where event_type = 'signup'),
@@ -49,28 +57,30 @@ withdrawal as (
   from outputs where supp % 4 = 1),
 redeemer as (
   select i.redeemer_id as id, i.tx_in_id as tx_id,
-         'script' || (o.stake_address_id % 25) as script_hash,
+         'script' || o.stake_address_id as script_hash,
          o.value % 1000 as unit_mem, o.value % 100000 as unit_steps, o.value % 10000 as fee,
          i.redeemer_id as datum_id
   from tx_in i join outputs o on o.id = i.id where i.redeemer_id is not null),
 script as (
   select 'script' || p_partkey as hash, p_partkey * 7 as tx_id,
-         case when p_partkey % 2 = 0 then 'plutus' else 'timelock' end as type
-  from part where p_partkey < 25),
+         case when p_partkey % 4 = 0 then 'plutus' else 'timelock' end as type
+  from part),
 datum as (
   select redeemer_id as id, tx_out_id as tx_id from tx_in where redeemer_id is not null),
 multi_asset as (
   select p_partkey as id, 'asset' || p_partkey as fingerprint, p_brand as policy,
          chr(92) || 'x' || p_partkey as name from part),
 ma_tx_mint as (
-  select l_orderkey as tx_id, min(l_partkey) as ident,
-         case when min(l_partkey) % 2 = 0 then 1
-              when min(l_returnflag) = 'R' then -min(cast(l_quantity as bigint))
-              else min(cast(l_quantity as bigint)) end as quantity
-  from lineitem where l_linenumber = 1 and l_orderkey % 15 = 0 group by l_orderkey),
+  select l_orderkey as tx_id, l_partkey as ident,
+         case when l_partkey % 2 = 0 and min(l_linenumber) % 2 = 0 then -1
+              when l_partkey % 2 = 0 then 1
+              when min(l_returnflag) = 'R' then -cast(sum(cast(l_quantity as bigint)) as bigint)
+              else cast(sum(cast(l_quantity as bigint)) as bigint) end as quantity
+  from lineitem group by l_orderkey, l_partkey),
 ma_tx_out as (
-  select id as tx_out_id, stake_address_id % 5 as ident, value % 97 + 1 as quantity
-  from outputs where stake_address_id % 3 = 0),
+  select id as tx_out_id, stake_address_id as ident, value % 97 + 1 as quantity from outputs
+  union all
+  select id, cast(floor(tx_id / 16) as bigint), value % 89 + 1 from outputs where idx = 2),
 tx_metadata as (
   select o_orderkey as tx_id,
          cast(case when o_orderpriority = '1-URGENT' then 721 else 674 end as bigint) as key

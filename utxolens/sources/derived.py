@@ -57,7 +57,7 @@ def derived_ledger(
     def tx() -> DataFrame:
         return scan("orders").select(
             F.col("o_orderkey").alias("id"),
-            _text("tx", F.col("o_orderkey")).alias("hash"),
+            F.concat(F.lit("tx"), F.md5(F.col("o_orderkey").cast("string"))).alias("hash"),
             F.floor(F.col("o_orderkey") / 8).cast("long").alias("block_id"),
             F.round("o_totalprice").cast("long").alias("fee"),
         )
@@ -69,19 +69,19 @@ def derived_ledger(
             .agg(F.count("*").alias("tx_count"))
             .select(
                 number.alias("id"),
-                number.alias("block_no"),
+                (number + 3).alias("block_no"),
                 _text("blk", number).alias("hash"),
                 F.floor(number / 4).cast("long").alias("epoch_no"),
                 (number * 20).alias("slot_no"),
                 "tx_count",
                 (F.lit(788_918_400_000_000) + number * F.lit(108_000_000_000)).alias("time"),
-                (number % 10).alias("slot_leader_id"),
+                number.alias("slot_leader_id"),
             )
         )
 
     def slot_leader() -> DataFrame:
-        key = F.col("s_suppkey")
-        return scan("supplier").select(key.alias("id"), key.alias("pool_hash_id"))
+        key = F.col("c_custkey")
+        return scan("customer").select(key.alias("id"), key.alias("pool_hash_id"))
 
     def pool_hash() -> DataFrame:
         return scan("supplier").select(
@@ -89,17 +89,26 @@ def derived_ledger(
         )
 
     def stake_address() -> DataFrame:
-        return scan("part").select(part_id().alias("id"), _text("stake", part_id()).alias("view"))
+        """Accounts that hold outputs, and others that only earn."""
+        holders = scan("part").select(part_id().alias("id"), _text("stake", part_id()).alias("view"))
+        key = F.col("s_suppkey")
+        earners = scan("supplier").select((-1 - key).alias("id"), _text("earner", key).alias("view"))
+        return holders.unionByName(earners)
 
     def outputs() -> DataFrame:
         cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-        first = F.min(F.col("l_partkey") * 100 + F.col("l_suppkey"))
+        first = F.min(F.col("l_partkey") * 100 + F.col("l_suppkey")).cast("string")
+        # first lines of neighbouring orders share a wallet, so that a transaction also
+        # pays an address it spends from
+        wallet = F.concat(F.lit("w"), F.floor(F.col("l_orderkey") / 16).cast("string"))
+        own = (F.col("l_linenumber") == 1) & (F.min("l_partkey") % 3 == 0)
+        first = F.when(own, wallet).otherwise(first)
         return (
             scan("lineitem")
             .groupBy("l_orderkey", "l_linenumber")
             .agg(
-                _text("addr", first).alias("address"),
-                _text("raw", first).alias("address_raw"),
+                F.concat(F.lit("addr"), first).alias("address"),
+                F.concat(F.lit("raw"), first).alias("address_raw"),
                 F.min("l_partkey").alias("stake_address_id"),
                 F.min("l_suppkey").alias("supp"),
                 F.sum(cents).alias("value"),
@@ -121,7 +130,7 @@ def derived_ledger(
 
     def tx_in() -> DataFrame:
         spender = F.col("tx_id") + 1 + (F.col("stake_address_id") + F.col("idx")) % 11
-        script_spend = F.when(F.col("stake_address_id") % 20 == 0, F.col("id"))
+        script_spend = F.when(F.col("stake_address_id") % 2 == 0, F.col("id"))
         return (
             ledger.outputs.filter(F.col("supp") % 4 != 0)
             .select(
@@ -139,17 +148,21 @@ def derived_ledger(
         return F.round(F.col("value") * 1_000_000).cast("long").alias("amount")
 
     def reward() -> DataFrame:
-        pool = F.col("event_id") % 10
+        """Rewards of every event but sign-ups; purchases earn for accounts without outputs."""
+        kind, user = F.col("event_type"), F.col("user_id")
         return (
             scan("events")
-            .filter(F.col("event_type").isin("view", "purchase"))
+            .filter(kind != "signup")
             .select(
                 F.col("event_id").alias("id"),
-                F.col("user_id").alias("addr_id"),
-                F.when(pool != 0, pool).alias("pool_id"),
-                F.dayofmonth("ts").cast("long").alias("earned_epoch"),
+                F.when(kind == "purchase", -1 - user).otherwise(user).alias("addr_id"),
+                F.when(kind != "error", user).alias("pool_id"),
+                F.datediff("ts", F.lit("2024-01-01")).cast("long").alias("earned_epoch"),
                 event_amount(),
-                F.when(F.col("event_type") == "view", "member").otherwise("leader").alias("type"),
+                F.when(kind == "view", "member")
+                .when(kind == "purchase", "leader")
+                .otherwise(kind)
+                .alias("type"),
             )
         )
 
@@ -177,7 +190,7 @@ def derived_ledger(
         return ledger.outputs.join(calls, "id").select(
             "id",
             F.col("call_tx").alias("tx_id"),
-            _text("script", F.col("stake_address_id") % 25).alias("script_hash"),
+            _text("script", F.col("stake_address_id")).alias("script_hash"),
             (F.col("value") % 1_000).alias("unit_mem"),
             (F.col("value") % 100_000).alias("unit_steps"),
             (F.col("value") % 10_000).alias("fee"),
@@ -185,15 +198,11 @@ def derived_ledger(
         )
 
     def script() -> DataFrame:
-        kind = F.when(part_id() % 2 == 0, "plutus").otherwise("timelock")
-        return (
-            scan("part")
-            .filter(part_id() < 25)
-            .select(
-                _text("script", part_id()).alias("hash"),
-                (part_id() * 7).alias("tx_id"),
-                kind.alias("type"),
-            )
+        kind = F.when(part_id() % 4 == 0, "plutus").otherwise("timelock")
+        return scan("part").select(
+            _text("script", part_id()).alias("hash"),
+            (part_id() * 7).alias("tx_id"),
+            kind.alias("type"),
         )
 
     def datum() -> DataFrame:
@@ -210,26 +219,36 @@ def derived_ledger(
         )
 
     def ma_tx_mint() -> DataFrame:
-        ident = F.min("l_partkey")
-        amount = F.min(F.col("l_quantity").cast("long"))
+        """A mint for every part of an order; even parts are minted and burnt one by one."""
+        ident = F.col("l_partkey")
+        amount = F.sum(F.col("l_quantity").cast("long"))
         quantity = (
-            F.when(ident % 2 == 0, F.lit(1).cast("long"))
+            F.when((ident % 2 == 0) & (F.min("l_linenumber") % 2 == 0), F.lit(-1).cast("long"))
+            .when(ident % 2 == 0, F.lit(1).cast("long"))
             .when(F.min("l_returnflag") == "R", -amount)
             .otherwise(amount)
         )
         return (
             scan("lineitem")
-            .filter((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 15 == 0))
-            .groupBy(F.col("l_orderkey").alias("tx_id"))
-            .agg(ident.alias("ident"), quantity.alias("quantity"))
+            .groupBy(F.col("l_orderkey").alias("tx_id"), ident)
+            .agg(quantity.alias("quantity"))
+            .select("tx_id", ident.alias("ident"), "quantity")
         )
 
     def ma_tx_out() -> DataFrame:
-        return ledger.outputs.filter(F.col("stake_address_id") % 3 == 0).select(
-            F.col("id").alias("tx_out_id"),
-            (F.col("stake_address_id") % 5).alias("ident"),
+        """Two holdings of each output: its own asset, and one its block has in common."""
+        output = F.col("id").alias("tx_out_id")
+        own = ledger.outputs.select(
+            output,
+            F.col("stake_address_id").alias("ident"),
             (F.col("value") % 97 + 1).alias("quantity"),
         )
+        shared = ledger.outputs.filter(F.col("idx") == 2).select(
+            output,
+            F.floor(F.col("tx_id") / 16).cast("long").alias("ident"),
+            (F.col("value") % 89 + 1).alias("quantity"),
+        )
+        return own.unionByName(shared)
 
     def tx_metadata() -> DataFrame:
         order = F.col("o_orderkey").alias("tx_id")
