@@ -31,7 +31,7 @@ from utxolens.sources.storage import WorkTables
 
 LENGTH = 100
 DIGIT = 24
-BUFFER_BYTES = 2 << 20
+BUFFER_BYTES = 1 << 19
 TASK_RUNS = 500_000
 MERGE_ROWS = 100_000
 RUN, REPEAT, EDGE = 0, 1, 2
@@ -65,7 +65,7 @@ class Hashes:
     def _table(cls, base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         known = cls._powers.get(base)
         if known is None or len(known[0]) < size:
-            size = max(size, BUFFER_BYTES + LENGTH)
+            size = max(size, 2 * (BUFFER_BYTES + LENGTH))
             back = pow(base, -1, 1 << 64)
             tables = []
             for factor in (base, back):
@@ -123,33 +123,46 @@ def packed_place(check: np.ndarray, start: np.ndarray, windows: np.ndarray) -> n
     return (check << 39) | (start << 7) | windows
 
 
-def _buffers(batches: Iterator[pa.RecordBatch]):
-    """Lists of (ord, checksum, bytes, places or None), in order, of bounded size."""
+def _pieces(data: bytes, length: int, room: int) -> Iterator[tuple[int, bytes]]:
+    """Pieces of a text by the windows that start in each, so that long texts need no more room."""
+    for at in range(0, max(1, len(data) - length + 1), room):
+        yield at, data[at : at + room + length - 1]
+
+
+def _buffers(batches: Iterator[pa.RecordBatch], length: int, room: int):
+    """Lists of (ord, checksum, offset, bytes, places or None) of pieces, of bounded size."""
     kept, size = [], 0
     for batch in batches:
-        places = batch["places"].to_pylist() if "places" in batch.schema.names else None
+        listed = "places" in batch.schema.names
         for row, (number, text) in enumerate(zip(batch["ord"].to_pylist(), batch["text"])):
             data = (text.as_py() or "").encode()
-            kept.append((number, zlib.crc32(data) & 0xFFFFFF, data, places and places[row]))
-            size += len(data)
-            if size >= BUFFER_BYTES:
-                yield sorted(kept, key=lambda doc: doc[:2])
-                kept, size = [], 0
+            check = zlib.crc32(data) & 0xFFFFFF
+            places = batch["places"][row].values.to_numpy() if listed else None
+            for offset, piece in _pieces(data, length, room):
+                own = None
+                if listed:
+                    start = (places >> 7) & 0xFFFFFFFF
+                    own = places[(start >= offset) & (start < offset + room)]
+                kept.append((number, check, offset, piece, own))
+                size += len(piece)
+                if size >= room:
+                    yield sorted(kept, key=lambda piece: piece[:3])
+                    kept, size = [], 0
     if kept:
-        yield sorted(kept, key=lambda doc: doc[:2])
+        yield sorted(kept, key=lambda piece: piece[:3])
 
 
-def _laid_out(docs: list) -> tuple[np.ndarray, ...]:
-    """bytes, text number of each byte, start, ord and checksum of each text."""
-    sizes = np.array([len(doc[2]) for doc in docs], np.int64)
-    data = np.frombuffer(b"".join(doc[2] for doc in docs), np.uint8)
+def _laid_out(pieces: list) -> tuple[np.ndarray, ...]:
+    """bytes, piece of each byte, and of each piece: its start minus its offset, ord, checksum."""
+    sizes = np.array([len(piece[3]) for piece in pieces], np.int64)
+    data = np.frombuffer(b"".join(piece[3] for piece in pieces), np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     return (
         data,
-        np.repeat(np.arange(len(docs)), sizes),
-        starts,
-        np.array([doc[0] for doc in docs], np.int64),
-        np.array([doc[1] for doc in docs], np.int64),
+        np.repeat(np.arange(len(pieces)), sizes),
+        starts - np.array([piece[2] for piece in pieces], np.int64),
+        np.array([piece[0] for piece in pieces], np.int64),
+        np.array([piece[1] for piece in pieces], np.int64),
     )
 
 
@@ -176,9 +189,9 @@ def _rows(h, r, ord_, at) -> pa.RecordBatch:
     )
 
 
-def _run_rows(length: int):
+def _run_rows(length: int, room: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs in _buffers(batches):
+        for docs in _buffers(batches, length, room):
             data, doc_of, starts, ords, checks = _laid_out(docs)
             h, r, first, windows = runs(data, doc_of, length)
             doc = doc_of[first]
@@ -188,14 +201,14 @@ def _run_rows(length: int):
     return each
 
 
-def _window_rows(length: int):
+def _window_rows(length: int, room: int):
     """Single windows of the runs in ``places``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs in _buffers(batches):
+        for docs in _buffers(batches, length, room):
             data, _, starts, ords, checks = _laid_out(docs)
-            doc = np.repeat(np.arange(len(docs)), [len(d[3]) for d in docs])
-            at = np.array([place for d in docs for place in d[3]], np.int64)
+            doc = np.repeat(np.arange(len(docs)), [len(piece[4]) for piece in docs])
+            at = np.concatenate([piece[4] for piece in docs])
             start, count = (at >> 7) & 0xFFFFFFFF, at & 127
             steps = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             doc, start = np.repeat(doc, count), np.repeat(start, count) + steps
@@ -293,7 +306,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ordered = rows.repartition(tasks, "h").sortWithinPartitions("h", "r", "ord", "at")
         return work.write(ordered.mapInArrow(_settle, "ord long, at long, kind int"), label)
 
-    found = settled(docs.select("ord", "text").mapInArrow(_run_rows(length), ROWS_DDL), "runs")
+    found = settled(docs.select("ord", "text").mapInArrow(_run_rows(length, BUFFER_BYTES), ROWS_DDL), "runs")
     edges = work.write(
         found.filter(F.col("kind") == EDGE)
         .groupBy("ord", F.shiftright("at", 39).alias("check"))
@@ -303,7 +316,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     bounded = (edges.agg(F.sum(F.size("places"))).first()[0] or 0) <= 2_000_000
     cut = F.broadcast(edges) if bounded else edges
     held = docs.select("ord", "check", "text").join(cut, ["ord", "check"]).select("ord", "text", "places")
-    single = settled(held.mapInArrow(_window_rows(length), ROWS_DDL), "windows")
+    single = settled(held.mapInArrow(_window_rows(length, BUFFER_BYTES), ROWS_DDL), "windows")
     repeated = (
         found.filter(F.col("kind") == REPEAT)
         .select("ord", "at")
