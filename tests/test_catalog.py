@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from utxolens.plans import catalog, oracle
 
 SMALL = "/root/testdata/sf0.001"
 SAMPLE = [
@@ -14,6 +15,9 @@ SAMPLE = [
     "account_balance",
     "script_calls",
     "token_types",
+    "token_edge_maps",
+    "account_balance_as_coded",
+    "tx_by_hash",
     "stake_balance_case",
     "network_with_ids",
     "entity_degrees",
@@ -23,7 +27,8 @@ SAMPLE = [
 
 
 def test_every_dataset_has_a_sql_text():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.DATASETS) == set(oracle.oracle_sql())
+    assert set(catalog.DATASETS) <= set(entry.queries())
 
 
 def test_entry(spark):

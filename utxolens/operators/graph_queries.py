@@ -74,10 +74,8 @@ def tx_by_hash(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame, tx_hash: str)
 
 def token_transactions(token_rows: DataFrame) -> DataFrame:
     """Transfer edges that carry at least one token, with how many they carry."""
-    return (
-        token_rows.groupBy("src", "dst", "tx_hash", "ADA_Input", "ADA_Output")
-        .agg(F.count("*").alias("tokens"))
-        .filter(F.col("tokens") > 0)
+    return token_rows.groupBy("src", "dst", "tx_hash", "ADA_Input", "ADA_Output").agg(
+        F.count("*").alias("tokens")
     )
 
 

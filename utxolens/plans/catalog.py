@@ -25,7 +25,7 @@ from utxolens.session import tune
 from utxolens.streaming import entity_state, feeds, incremental
 from utxolens.sources.derived import Ledger, derived_ledger
 from utxolens.sources.sinks import append_batch
-from utxolens.sources.storage import WorkTables, materialize
+from utxolens.sources.storage import WorkTables, is_folder, listing, materialize
 from utxolens.sources.streams import file_stream, parsed_messages
 
 Dataset = Callable[[SparkSession, str], DataFrame]
@@ -41,16 +41,16 @@ PAGERANK_ROUNDS = 10
 PAGERANK_TOLERANCE = 0.01
 
 
-# Tables several datasets start from are written once per application and folder:
-# the ledger's outputs and spends, as an ingest would, and the entities and their
+# Tables several datasets start from are written once per application and state of a
+# folder: the ledger's outputs and spends, as an ingest would, and the entities and their
 # graph, since the metrics of a snapshot all read the stored clustering.
-_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_STORED: dict[tuple, tuple[str, StructType]] = {}
 
 
 def stored(name: str, build: Callable[[SparkSession, str], DataFrame]) -> Dataset:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         tune(spark)
-        key = (spark.sparkContext.applicationId, folder, name)
+        key = (spark.sparkContext.applicationId, folder, listing(spark, folder), name)
         if key not in _STORED:
             work = WorkTables(spark, name)
             table = work.write(build(spark, folder), "table")
@@ -676,6 +676,16 @@ def token_transactions(t):
     return graph_queries.token_transactions(_token_edges(t))
 
 
+@dataset
+def token_edge_maps(t):
+    """The map of each transfer edge, its entries as sorted text."""
+    entries = F.transform(
+        F.map_entries("tokens"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
+    )
+    carried = edges.token_edge_maps(_token_edges(t)).filter(F.size("tokens") > 0)
+    return carried.withColumn("tokens", F.array_join(F.sort_array(entries), ","))
+
+
 def _degrees(t):
     return graph_queries.address_degrees(t.tx, t.tx_in, t.tx_out)
 
@@ -820,9 +830,18 @@ _register(
 _register("largest_scc", lambda s, d: graph_algorithms.largest_scc(stored_entity_edges(s, d)))
 
 
+# What the streams store.
+_REWARD_TYPE_TOTALS = "type string, ADA_amount double"
+_SUPPLY_PARTS = "ident bigint, quantity bigint, cnt bigint, mtx bigint"
+_EVENTS = "event_id bigint, user_id bigint, event_type string"
+
+
 def _stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One of the given tables read as a stream of files."""
-    fields = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    """One of the given tables, a file or a folder of files, read as a stream of files."""
+    path = f"{folder}/{table}.parquet"
+    fields = spark.read.parquet(path).schema
+    if is_folder(spark, path):
+        return file_stream(spark, path, fields)
     return file_stream(spark, folder, fields, pattern=f"{table}.parquet")
 
 
@@ -833,7 +852,7 @@ def _stream_rewards_by_type(spark: SparkSession, folder: str) -> DataFrame:
         spark, folder, scan=lambda name: _stream(spark, folder, name)
     ).reward
     feeds.reward_type_feed(rewards_stream, f"{target}/totals", f"{target}/checkpoint")
-    return spark.read.parquet(f"{target}/totals")
+    return incremental.stored_table(spark, f"{target}/totals", _REWARD_TYPE_TOTALS)
 
 
 def _stream_token_supply(spark: SparkSession, folder: str) -> DataFrame:
@@ -851,7 +870,9 @@ def _stream_token_supply(spark: SparkSession, folder: str) -> DataFrame:
         ),
         f"{target}/checkpoint",
     )
-    return feeds.read_token_supply(spark.read.parquet(f"{target}/supply"))
+    return feeds.read_token_supply(
+        incremental.stored_table(spark, f"{target}/supply", _SUPPLY_PARTS)
+    )
 
 
 def _stream_messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -860,13 +881,12 @@ def _stream_messages(spark: SparkSession, folder: str) -> DataFrame:
     messages = _stream(spark, folder, "events").select(
         F.to_json(F.struct("event_id", "user_id", "event_type")).alias("value")
     )
-    fields = StructType.fromDDL("event_id bigint, user_id bigint, event_type string")
     feeds.drain(
-        parsed_messages(messages, fields),
+        parsed_messages(messages, StructType.fromDDL(_EVENTS)),
         lambda batch, batch_id: append_batch(batch, f"{target}/events", batch_id),
         f"{target}/checkpoint",
     )
-    return spark.read.parquet(f"{target}/events").drop("batch_id")
+    return incremental.stored_table(spark, f"{target}/events", _EVENTS)
 
 
 def _address_neighbours(spark: SparkSession, folder: str) -> DataFrame:

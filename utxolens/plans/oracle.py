@@ -566,6 +566,10 @@ PLAIN: dict[str, str] = {
     "token_transactions": """
         select src, dst, tx_hash, "ADA_Input", "ADA_Output", count(*) as tokens
         from token_moves group by all""",
+    "token_edge_maps": """
+        select src, dst, tx_hash, "ADA_Input", "ADA_Output",
+               string_agg(token || '=' || quantity, ',' order by token || '=' || quantity) as tokens
+        from token_moves group by all""",
     "top_out_degree": _top_degree("out_degree"),
     "top_in_degree": _top_degree("in_degree"),
     "top_degree": _top_degree("degree"),

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-
-def _read_if_present(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    try:
-        return spark.read.format(fmt).load(path)
-    except AnalysisException:
-        return None
+from utxolens.sources.storage import read_if_present
 
 
 def append_batch(
@@ -41,7 +35,7 @@ def upsert_vertices(df: DataFrame, root: str, label: str, key: str, batch_id: in
     """Add the vertices whose key is not stored yet; returns the ones added."""
     path = f"{root}/vertices/{label}"
     fresh = df.dropDuplicates([key])
-    known = _read_if_present(df.sparkSession, path)
+    known = read_if_present(df.sparkSession, path)
     if known is not None:
         earlier = known.filter(F.col("batch_id") != batch_id).select(key)
         fresh = fresh.join(earlier, key, "left_anti")
@@ -69,7 +63,7 @@ def write_edges(
         .join(ids.withColumnRenamed("id", src), src, "left_semi")
         .join(ids.withColumnRenamed("id", dst), dst, "left_semi")
     )
-    known = _read_if_present(edges.sparkSession, path)
+    known = read_if_present(edges.sparkSession, path)
     if known is not None:
         earlier = known.filter(F.col("batch_id") != batch_id).select(
             *[F.col(name).alias(f"_{name}") for name in edges.columns]

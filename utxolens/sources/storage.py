@@ -7,6 +7,7 @@ import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.utils import AnalysisException
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +31,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def read_if_present(
+    spark: SparkSession, path: str, fields: str | None = None, fmt: str = "parquet"
+) -> DataFrame | None:
+    """A stored table, or None if nothing is stored there yet. Other faults are raised."""
+    reader = spark.read.format(fmt)
+    if fields:
+        reader = reader.schema(fields)
+    try:
+        return reader.load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its form."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, place = _files(spark, path)
+    return files.getFileStatus(place).isDirectory()
+
+
+def listing(spark: SparkSession, folder: str) -> tuple:
+    """What a folder of tables holds: it differs after a table was added to or rewritten."""
+    files, place = _files(spark, folder)
+    found = []
+    for status in files.listStatus(place):
+        size = status.getLen(), 1
+        if status.isDirectory():
+            total = files.getContentSummary(status.getPath())
+            size = total.getLength(), total.getFileCount()
+        found.append((status.getPath().getName(), status.getModificationTime(), *size))
+    return tuple(sorted(found))
+
+
 class WorkTables:
     """Tables written by one iterative job, under a folder of its own."""
 
@@ -57,10 +97,8 @@ class WorkTables:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of this folder that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(df))
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path.getFileSystem(conf).delete(path, True)
+        files, place = _files(self.spark, self.path(df))
+        files.delete(place, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -8,22 +8,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from utxolens.operators.tokens import token_supply
 from utxolens.operators.utxo import new_addresses, transaction_network
 from utxolens.functions.ranking import dense_ids
 from utxolens.sources.sinks import append_batch
+from utxolens.sources.storage import read_if_present
 
 _MARKS = "job string, source string, last_id bigint, batch_id bigint"
 
 
 def stored_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table written before, or no rows of ``schema`` if there is none yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    found = read_if_present(spark, path, schema)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 class Marks:
