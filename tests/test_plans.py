@@ -54,6 +54,20 @@ def test_a_hot_transaction_is_split(spark, small_partitions):
     assert degrees.agg(F.sum("out_degree")).first()[0] == len(got)
 
 
+def test_chosen_transactions_cut_both_sides_first(spark):
+    ledger = derived_ledger(spark, SMALL)
+    tx, tx_in, tx_out = (
+        storage.materialize(df, name)
+        for df, name in ((ledger.tx, "tx"), (ledger.tx_in, "tx-in"), (ledger.tx_out, "tx-out"))
+    )
+    hashed = tx.filter(F.col("id") == 120).first().hash
+    found = graph_queries.tx_by_hash(tx, tx_in, tx_out, hashed)
+    text = plan(found)
+    assert text.count("LeftSemi") == 2
+    every = utxo.network_edges(tx, tx_in, tx_out).filter(F.col("tx_hash") == hashed)
+    assert found.count() == every.count() > 0
+
+
 def test_only_needed_columns_are_read(spark):
     text = plan(derived_ledger(spark, SMALL).block.agg(F.max("block_no")))
     assert "ReadSchema: struct<o_orderkey:bigint>" in text

@@ -9,9 +9,11 @@ from utxolens.functions.amounts import ada
 from utxolens.operators.utxo import input_edges, network_edges, output_edges
 
 
-def network_edge_table(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame) -> DataFrame:
+def network_edge_table(
+    tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame, chosen: bool = False
+) -> DataFrame:
     """The whole network: every transfer edge with its hash and amounts."""
-    return network_edges(tx, tx_in, tx_out).select(
+    return network_edges(tx, tx_in, tx_out, chosen).select(
         F.col("input_addr").alias("src"),
         F.col("output_addr").alias("dst"),
         "tx_hash",
@@ -58,12 +60,12 @@ def script_network(
     if script_type is not None:
         script = script.filter(F.col("type") == script_type)
     chosen = tx.join(script.select(F.col("tx_id").alias("id")), "id", "left_semi")
-    return network_edge_table(chosen, tx_in, tx_out)
+    return network_edge_table(chosen, tx_in, tx_out, chosen=True)
 
 
 def tx_by_hash(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame, tx_hash: str) -> DataFrame:
     """Inputs and outputs of one transaction, without repeats."""
-    edges = network_edges(tx.filter(F.col("hash") == tx_hash), tx_in, tx_out)
+    edges = network_edges(tx.filter(F.col("hash") == tx_hash), tx_in, tx_out, chosen=True)
     return edges.select(
         F.col("input_addr").alias("Inputs"),
         ada("input_value").alias("ADA_Input"),

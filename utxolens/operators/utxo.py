@@ -79,17 +79,24 @@ def tx_outputs(tx: DataFrame, tx_out: DataFrame) -> DataFrame:
     )
 
 
-def network_edges(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame) -> DataFrame:
+def network_edges(
+    tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame, chosen: bool = False
+) -> DataFrame:
     """(tx_id, tx_hash, input_addr, output_addr, input_value, output_value).
 
     Both sides lose their repeats before they meet, so the joined rows are
-    distinct without a shuffle of the much larger result.
+    distinct without a shuffle of the much larger result. With ``chosen``, ``tx`` is a
+    small part of the ledger: inputs and outputs are cut to it before anything else.
     """
+    made = tx_out
+    if chosen:
+        tx_in = tx_in.join(tx.select(F.col("id").alias("tx_in_id")), "tx_in_id", "left_semi")
+        made = tx_out.join(tx.select(F.col("id").alias("tx_id")), "tx_id", "left_semi")
     inputs = input_edges(tx_out, tx_in).select(
         "tx_id", F.col("address").alias("input_addr"), F.col("amount").alias("input_value")
     )
     outputs = (
-        tx_out.select(
+        made.select(
             "tx_id", F.col("address").alias("output_addr"), F.col("value").alias("output_value")
         ).distinct()
     )
@@ -101,9 +108,11 @@ def network_edges(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame) -> DataFra
     )
 
 
-def transaction_network(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame) -> DataFrame:
+def transaction_network(
+    tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame, chosen: bool = False
+) -> DataFrame:
     """Input address to output address of each transaction, amounts in ADA."""
-    return network_edges(tx, tx_in, tx_out).select(
+    return network_edges(tx, tx_in, tx_out, chosen).select(
         "tx_hash",
         "input_addr",
         "output_addr",

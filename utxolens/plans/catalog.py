@@ -886,7 +886,7 @@ def _stream_messages(spark: SparkSession, folder: str) -> DataFrame:
         lambda batch, batch_id: append_batch(batch, f"{target}/events", batch_id),
         f"{target}/checkpoint",
     )
-    return incremental.stored_table(spark, f"{target}/events", _EVENTS)
+    return incremental.stored_table(spark, f"{target}/events", _EVENTS).drop("batch_id")
 
 
 def _address_neighbours(spark: SparkSession, folder: str) -> DataFrame:

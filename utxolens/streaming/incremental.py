@@ -147,8 +147,7 @@ def network_increment(
         .distinct()
     )
     some_tx = tx.join(touched, "id", "left_semi")
-    some_in = tx_in.join(touched.withColumnRenamed("id", "tx_in_id"), "tx_in_id", "left_semi")
-    network = transaction_network(some_tx, some_in, tx_out)
+    network = transaction_network(some_tx, tx_in, tx_out, chosen=True)
     if stored is None:
         return network
     known = stored.join(some_tx.select(F.col("hash").alias("tx_hash")), "tx_hash", "left_semi")
