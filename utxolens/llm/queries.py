@@ -108,14 +108,14 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def _duck_words(name: str, key: str) -> str:
     return rf"""
         SELECT {key}, list_filter(
-            regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), x -> x <> ''
+            regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''
         ) AS w FROM {name}"""
 
 
 def _duck_shingles(name: str, key: str) -> str:
     return f"""
         SELECT DISTINCT {key}, unnest(list_transform(
-            range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s
+            range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
         FROM ({_duck_words(name, key)}) WHERE len(w) >= 5"""
 
 
