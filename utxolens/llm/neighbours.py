@@ -111,7 +111,8 @@ class CentroidGraph:
 def balanced_centroids(sample: np.ndarray, count: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids of lists of like sizes: nearness is charged with the size of a list.
 
-    The charge is one more coordinate of a centroid, in which vectors are zero, so it
+    A charge grows by steps no larger than a list is wide, and centroids of nearly empty
+    lists move into the largest ones, so that a dense cluster is split. The charge is one more coordinate of a centroid, in which vectors are zero, so it
     also holds for vectors and queries outside the sample.
     """
     rng = np.random.default_rng(7)
@@ -120,6 +121,7 @@ def balanced_centroids(sample: np.ndarray, count: int, rounds: int = ROUNDS) ->
     centroids = distinct[rng.choice(len(distinct), count, replace=False)]
     charge = np.zeros(count)
     spread = float(((sample - sample.mean(axis=0)) ** 2).sum(axis=1).mean())
+    norms, fair = (sample**2).sum(axis=1), len(sample) / count
     for _ in range(rounds):
         distances = (centroids**2).sum(axis=1) - 2 * sample @ centroids.T + charge
         owner = distances.argmin(axis=1)
@@ -128,7 +130,16 @@ def balanced_centroids(sample: np.ndarray, count: int, rounds: int = ROUNDS) ->
         np.add.at(sums, owner, sample)
         full = sizes > 0
         centroids[full] = sums[full] / sizes[full, None]
-        charge += 0.05 * spread * np.clip(sizes * count / len(sample) - 1, -1, 1)
+        width = np.bincount(owner, norms, count) / np.maximum(sizes, 1) - (centroids**2).sum(axis=1)
+        step = np.where(full, np.clip(width, 0, spread), 0)
+        charge += 0.05 * step * np.clip(sizes / fair - 1, -1, 1)
+        for spare in np.flatnonzero(sizes < fair / 4):
+            largest = sizes.argmax()
+            if sizes[largest] < 2 * fair:
+                break
+            centroids[spare] = sample[rng.choice(np.flatnonzero(owner == largest))]
+            charge[spare] = charge[largest]
+            sizes[largest] //= 2
     return np.column_stack([centroids, np.sqrt(charge - charge.min())])
 
 
