@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from utxolens.functions.hot_keys import join_back
 from utxolens.sources.storage import WorkTables
 
 RESET = 0.15
@@ -28,7 +29,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     The component is its smallest id. Alternates the large-star and small-star
     steps of Kiveris et al. (2014): the number of rounds grows with the logarithm
-    of the graph, not with its longest path, and no node gathers its neighbours.
+    of the graph, not with its longest path, and no node gathers its neighbours. A
+    node learns its smallest neighbour from a map-side combined minimum, and the links
+    of a hub meet that minimum in several tasks.
     """
     work = WorkTables(edges.sparkSession, "components")
     links = (
@@ -68,14 +71,14 @@ def _large_star(links: DataFrame) -> DataFrame:
         F.col("node").alias("low"), F.least("node", "other").alias("centre")
     )
     # repeats are left to the small-star step that follows
-    return links.join(centre, "low").select("high", F.col("centre").alias("low"))
+    return join_back(links, centre, "low").select("high", F.col("centre").alias("low"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node hangs itself and its smaller neighbours on the smallest one."""
     centre = links.groupBy("high").agg(F.min("low").alias("centre"))
     moved = (
-        links.join(centre, "high")
+        join_back(links, centre, "high")
         .filter(F.col("low") != F.col("centre"))
         .select(F.col("low").alias("high"), F.col("centre").alias("low"))
     )
