@@ -74,3 +74,8 @@ def tricky(spark, rows, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty(spark):
     return table(spark, [])
+
+
+@pytest.fixture(scope="session")
+def as_documents(spark):
+    return lambda rows: table(spark, rows).repartition(3)
