@@ -132,7 +132,7 @@ def test_shared_signatures(rows, batch, open_group):
     rows.sort()
     kind = jaccard_join.SIGNED
     batches = [
-        pa.RecordBatch.from_pylist([{"signature": s, "id": i} for s, i in rows[k : k + batch]], schema=kind)
+        pa.RecordBatch.from_pylist([{"signature": s, "id": i, "own": None} for s, i in rows[k : k + batch]], schema=kind)
         for k in range(0, len(rows), batch)
     ]
     before, jaccard_join.OPEN_GROUP = jaccard_join.OPEN_GROUP, open_group
@@ -152,6 +152,16 @@ def test_shared_signatures(rows, batch, open_group):
     assert all(len(g) > 1 for g in got.values())
 
 
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(1)
+    for size in (1, 5, 100, 3000):
+        one, other = (np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)) for _ in range(2))
+        other = np.union1d(other[: size // 3], one[size // 4 :])
+        apart = len(np.setxor1d(one, other))
+        differ = int(np.bitwise_count((jaccard_join.sketch_of(one) ^ jaccard_join.sketch_of(other)).view("<u8")).sum())
+        assert differ <= apart and (size > 100 or differ >= 0.6 * apart)
+
+
 def test_bands():
     for percent in (60, 85, 95):
         for size in [*range(1, 300), 5_000, 123_456]:

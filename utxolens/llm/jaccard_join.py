@@ -18,7 +18,11 @@ are tested by centres: a member is compared with all others of another component
 where that has left a group in several components do more members follow, in rounds of
 1, 2, 4 ... centres, until each group is one component or all of its members were centres.
 A group of n sets thus costs n comparisons if they are alike, and no link is lost if not.
-Each compared pair is verified by the sizes of the sets and of their intersection.
+
+A pair is discarded where its sizes differ too much, or where the sketches of the sets do:
+a sketch holds for each of 512 shares of the domain whether the number of elements is odd,
+so sketches never differ in more places than sets in elements. Each pair left is verified
+by the sizes of the sets and of their intersection.
 
 Elements are 64-bit hashes of shingles, classes 64-bit digests of sets.
 """
@@ -26,11 +30,13 @@ Elements are 64-bit hashes of shingles, classes 64-bit digests of sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utxolens.functions.hot_keys import join_back
@@ -47,9 +53,15 @@ WORDS_KEPT = 400_000
 SEEN_KEPT = 500_000
 ROWS_OUT = 100_000
 OPEN_GROUP = 100_000
+SKETCH_WORDS = 8
+CENTRES_GROW = 3  # bits: eight times as many centres from round to round
 
-OWN = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
-SIGNED = pa.schema([("signature", pa.int64()), ("id", pa.int64())])
+OWN = pa.struct([("doc_id", pa.int64()), ("n", pa.int64())])
+SIGNED = pa.schema([("signature", pa.int64()), ("id", pa.int64()), ("own", OWN)])
+SIGNED_COLUMNS = "signature long, id long, own struct<doc_id long, n long>"
+SETS = pa.schema(
+    [("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("elements", pa.list_(pa.int64()))]
+)
 
 
 # ---------------------------------------------------------------- sets
@@ -181,54 +193,49 @@ def _pass(docs: DataFrame, each, schema: str) -> DataFrame:
     return texts(docs).mapInArrow(run, schema)
 
 
-def own_classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, id, n): class and size of each row's set."""
-
-    def each(rows) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        for doc_id, text in rows:
-            elements = shingle_set(text, size)
-            kept.append((doc_id, class_of(elements), len(elements)))
-            if len(kept) >= 10_000:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*kept))), schema=OWN)
-                kept = []
-        if kept:
-            columns = [pa.array(column, pa.int64()) for column in zip(*kept)]
-            yield pa.RecordBatch.from_arrays(columns, schema=OWN)
-
-    return _pass(docs, each, "doc_id long, id long, n long")
-
-
 def signed_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(signature, id) of all sets. Copies within a task are signed once."""
+    """(signature, id, own) of all rows, in one pass.
+
+    A row of ``docs`` gives one row with its doc_id and the size of its set as ``own``, under
+    a signature that only spreads such rows, and a row per signature of its set, where
+    ``own`` is null. Copies within a task are signed once.
+    """
 
     def each(rows) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        made, ids, waiting = [], [], 0
-        for _, text in rows:
+        made, ids, own_rows, waiting = [], [], [], 0
+        for number, (doc_id, text) in enumerate(rows):
             elements = shingle_set(text, size)
             own = class_of(elements)
-            if own in seen:
-                continue
-            if len(seen) >= SEEN_KEPT:
-                seen.clear()
-            seen.add(own)
-            found = signatures(elements, percent)
-            made.append(found)
-            ids.append(np.full(len(found), own))
-            waiting += len(found)
-            if waiting >= ROWS_OUT:
-                yield _signed(made, ids)
-                made, ids, waiting = [], [], 0
-        if waiting:
-            yield _signed(made, ids)
+            own_rows.append((number * 0x9E3779B97F4A7C15 % 2**63, own, doc_id, len(elements)))
+            if own not in seen:
+                if len(seen) >= SEEN_KEPT:
+                    seen.clear()
+                seen.add(own)
+                found = signatures(elements, percent)
+                made.append(found)
+                ids.append(np.full(len(found), own))
+                waiting += len(found)
+            if waiting + len(own_rows) >= ROWS_OUT:
+                yield from _signed(made, ids, own_rows)
+                made, ids, own_rows, waiting = [], [], [], 0
+        yield from _signed(made, ids, own_rows)
+
+    return _pass(docs, each, SIGNED_COLUMNS)
+
+
+def _rows(signature: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(signature), pa.array(ids), pa.nulls(len(ids), OWN)]
+    return pa.RecordBatch.from_arrays(columns, schema=SIGNED)
 
-    return _pass(docs, each, "signature long, id long")
 
-
-def _signed(made: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-    columns = [pa.array(np.concatenate(made).view(np.int64)), pa.array(np.concatenate(ids))]
-    return pa.RecordBatch.from_arrays(columns, schema=SIGNED)
+def _signed(made: list[np.ndarray], ids: list[np.ndarray], own_rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if made:
+        yield _rows(np.concatenate(made).view(np.int64), np.concatenate(ids))
+    if own_rows:
+        spread, own, doc_id, n = (pa.array(column, pa.int64()) for column in zip(*own_rows))
+        named = pa.StructArray.from_arrays([doc_id, n], fields=list(OWN))
+        yield pa.RecordBatch.from_arrays([spread, own, named], schema=SIGNED)
 
 
 class _Groups:
@@ -252,16 +259,13 @@ class _Groups:
         keep[keep] = fresh
         rows = np.repeat(keep, sizes)
         if rows.any():
-            yield _shared(signature[rows], ids[rows])
-
-
-def _shared(signature: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(signature), pa.array(ids)], schema=SIGNED)
+            yield _rows(signature[rows], ids[rows])
 
 
 def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by signature and id: the distinct rows of signatures that several
-    classes have. Of groups with the same members, one is enough.
+    classes have. Of groups with the same members, one is enough. Rows with an ``own`` value
+    are handed on as they are.
 
     Groups are held until they end; one that grows large is passed on row by row instead.
     """
@@ -269,6 +273,10 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signature, ids = np.empty(0, np.int64), np.empty(0, np.int64)
     passing, last = None, None
     for batch in batches:
+        named = batch["own"].is_valid()
+        if pc.any(named).as_py():
+            yield batch.filter(named)
+            batch = batch.filter(pc.invert(named))
         more, more_ids = batch["signature"].to_numpy(), batch["id"].to_numpy()
         if passing is not None:
             own = int(np.searchsorted(more, passing, "right"))
@@ -277,7 +285,7 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rest = rest[np.concatenate([[rest[0] != last], rest[1:] != rest[:-1]])]
                 last = more_ids[own - 1]
                 if len(rest):
-                    yield _shared(np.full(len(rest), passing), rest)
+                    yield _rows(np.full(len(rest), passing), rest)
             more, more_ids = more[own:], more_ids[own:]
             if not len(more):
                 continue
@@ -292,19 +300,25 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from groups.chosen(signature[:first], ids[:first])
         signature, ids = signature[first:], ids[first:]
         if len(signature) > max(OPEN_GROUP, 1):
-            yield _shared(signature, ids)
+            yield _rows(signature, ids)
             passing, last = signature[0], ids[-1]
             signature, ids = signature[:0], ids[:0]
     yield from groups.chosen(signature, ids)
 
 
+def sketch_of(elements: np.ndarray) -> np.ndarray:
+    """For each share of the domain, a bit that says whether it has an odd number."""
+    bits = SKETCH_WORDS * 64
+    held = np.bincount((elements % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits(held & 1, bitorder="little").view("<i8")
+
+
 def sets_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(id, elements) of the rows' sets. Copies within a task are given once."""
-    schema = pa.schema([("id", pa.int64()), ("elements", pa.list_(pa.int64()))])
+    """(id, n, sketch, elements) of the rows' sets. Copies within a task are given once."""
 
     def each(rows) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        ids, sets, waiting = [], [], 0
+        kept, waiting = [], 0
         for _, text in rows:
             elements = shingle_set(text, size)
             own = class_of(elements)
@@ -313,20 +327,26 @@ def sets_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             if len(seen) >= SEEN_KEPT:
                 seen.clear()
             seen.add(own)
-            ids.append(own)
-            sets.append(elements.view(np.int64))
+            kept.append((own, len(elements), sketch_of(elements), elements.view(np.int64)))
             waiting += len(elements)
             if waiting >= 10 * ROWS_OUT:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sets, schema.field(1).type)], schema=schema)
-                ids, sets, waiting = [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sets, schema.field(1).type)], schema=schema)
+                yield _of_sets(kept)
+                kept, waiting = [], 0
+        if kept:
+            yield _of_sets(kept)
+
+    return _pass(docs, each, "id long, n long, sketch array<long>, elements array<long>")
 
-    return _pass(docs, each, "id long, elements array<long>")
+
+def _of_sets(kept: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(column, field.type) for column, field in zip(zip(*kept), SETS)]
+    return pa.RecordBatch.from_arrays(columns, schema=SETS)
 
 
 # ---------------------------------------------------------------- groups
 
+SKETCH = [f"sketch_{i}" for i in range(SKETCH_WORDS)]
+
 
 def distinct_groups(members: DataFrame) -> DataFrame:
     """One of all signatures with the same classes."""
@@ -340,22 +360,26 @@ def distinct_groups(members: DataFrame) -> DataFrame:
 
 
 def centres_of(live: DataFrame, round_nr: int) -> DataFrame:
-    """Up to ``2 ** round_nr`` members of each group: of a share of it by hash, the one
-    that is in most groups."""
-    share = F.pmod(F.xxhash64("id", F.lit(round_nr)), F.lit(2**round_nr))
-    first = F.max(F.struct("weight", "id", "n", "component"))
+    """One member of each group, eight times as many in each later round: of a share of the
+    group by hash, the one that is in most groups."""
+    shares = 1 << CENTRES_GROW * round_nr
+    share = F.pmod(F.xxhash64("id", F.lit(round_nr)), F.lit(shares).cast("long"))
+    columns = ["weight", "id", "n", "component", *SKETCH]
     return (
         live.groupBy("signature", share.alias("share"))
-        .agg(first.alias("first"))
-        .select(
-            "signature",
-            F.col("first.id").alias("centre"),
-            F.col("first.n").alias("centre_n"),
-            F.col("first.component").alias("centre_component"),
-        )
+        .agg(F.max(F.struct(*columns)).alias("first"))
+        .select("signature", *[F.col(f"first.{name}").alias(f"centre_{name}") for name in columns])
     )
 
 
+def possible(percent: int = PERCENT) -> Column:
+    """Whether sizes and sketches of a member and a centre allow a link."""
+    alike = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
+    apart = F.expr(f"(n + centre_n) * {100 - percent} div {100 + percent}")
+    differ = reduce(add, [F.bit_count(F.col(name).bitwiseXOR(F.col(f"centre_{name}"))) for name in SKETCH])
+    return alike & (differ <= apart)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The (src, dst) of ``pairs`` whose sets reach the threshold."""
     one = sets.select(F.col("id").alias("src"), F.col("elements").alias("one"))
@@ -396,36 +420,35 @@ class _Components:
 
 
 def components_of(
-    members: DataFrame, classes: DataFrame, sets: DataFrame, work: WorkTables, percent: int = PERCENT
+    members: DataFrame, sets: DataFrame, work: WorkTables, percent: int = PERCENT
 ) -> DataFrame:
     """(id, component) of the classes in groups ``members`` (signature, id).
 
-    ``classes`` (id, n) has each of them once, and so has ``sets``.
+    ``sets`` has each of them once.
     """
-    weights = members.groupBy("id").agg(F.count("*").alias("weight")).join(classes, "id")
-    components = _Components(work, weights)
-    weights = work.write(weights, "weights")
-    kept = join_back(members, work.write(distinct_groups(members), "groups").select("signature"), "signature", how="left_semi")
-    live = work.write(
-        join_back(kept, weights, "id").select("signature", "id", "n", "weight"), "live"
+    parts = [F.get("sketch", i).alias(name) for i, name in enumerate(SKETCH)]
+    told = work.write(
+        members.groupBy("id")
+        .agg(F.count("*").alias("weight"))
+        .join(sets.select("id", "n", *parts), "id"),
+        "told",
     )
+    components = _Components(work, told)
+    groups = work.write(distinct_groups(members), "groups").select("signature")
+    kept = join_back(members.select("signature", "id"), groups, "signature", how="left_semi")
+    columns = ["signature", "id", "n", "weight", *SKETCH]
+    live = work.write(join_back(kept, told, "id").select(*columns), "live")
     tested: DataFrame | None = None
     round_nr = 0
-    while True:
-        named = work.write(join_back(live, components.table, "id"), "named")
-        groups = named.groupBy("signature").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        open_groups = work.write(groups.filter("low != high").select("signature"), "open")
-        if open_groups.isEmpty():
-            return components.table
-        live = work.write(join_back(named, open_groups, "signature", how="left_semi"), "live")
-        centres = work.write(centres_of(live, round_nr), "centres")
-        alike = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
+    while not live.isEmpty():
+        named = live.withColumn("component", F.col("id"))
+        if round_nr:
+            named = join_back(live, components.table, "id")
+        centres = work.write(centres_of(named, round_nr), "centres")
         pairs = (
-            live.join(centres, "signature")
-            .filter((F.col("component") != F.col("centre_component")) & alike)
-            .select(F.least("id", "centre").alias("src"), F.greatest("id", "centre").alias("dst"))
+            named.join(centres, "signature")
+            .filter((F.col("component") != F.col("centre_component")) & possible(percent))
+            .select(F.least("id", "centre_id").alias("src"), F.greatest("id", "centre_id").alias("dst"))
             .distinct()
         )
         if tested is not None:
@@ -433,13 +456,22 @@ def components_of(
         pairs = work.write(pairs, "pairs")
         components.add(work.write(verified(pairs, sets, percent), "links"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        used = centres.select("signature", F.col("centre").alias("id"))
-        live = live.join(used, ["signature", "id"], "left_anti").select("signature", "id", "n", "weight")
+        used = centres.select("signature", F.col("centre_id").alias("id"))
+        rest = join_back(live.join(used, ["signature", "id"], "left_anti"), components.table, "id")
+        rest = work.write(rest, "rest")
+        groups = rest.groupBy("signature").agg(
+            F.min("component").alias("low"), F.max("component").alias("high")
+        )
+        open_groups = work.write(groups.filter("low != high").select("signature"), "open")
+        live = work.write(
+            join_back(rest, open_groups, "signature", how="left_semi").select(*columns), "live"
+        )
         round_nr += 1
+    return components.table
 
 
 def candidate_sets(docs: DataFrame, own: DataFrame, wanted: DataFrame, work: WorkTables, size: int) -> DataFrame:
-    """(id, elements) of the ``wanted`` classes, each from a document that has it."""
+    """Sets of the ``wanted`` classes, each from a document that has it."""
     firsts = work.write(
         own.groupBy("id").agg(F.min("doc_id").alias("doc_id")).join(wanted, "id"), "firsts"
     )
@@ -452,7 +484,8 @@ def candidate_sets(docs: DataFrame, own: DataFrame, wanted: DataFrame, work: Wor
     repeated = sets.groupBy("id").count().filter("count > 1")
     if repeated.isEmpty():
         return sets
-    return work.write(sets.groupBy("id").agg(F.any_value("elements").alias("elements")), "sets")
+    names = ["n", "sketch", "elements"]
+    return work.write(sets.groupBy("id").agg(*[F.any_value(name).alias(name) for name in names]), "sets")
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -466,21 +499,21 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     """
     work = WorkTables(docs.sparkSession, "jaccard")
     docs = texts(docs)
-    own = work.write(own_classes(docs, size), "own")
-    classes = work.write(
-        own.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")),
-        "classes",
+    found = work.write(
+        signed_classes(docs, size, percent)
+        .repartition("signature")
+        .sortWithinPartitions("signature", "id")
+        .mapInArrow(shared_only, SIGNED_COLUMNS),
+        "signed",
     )
-    signed = signed_classes(docs, size, percent)
-    members = work.write(
-        signed.repartition("signature").sortWithinPartitions("signature", "id").mapInArrow(
-            shared_only, "signature long, id long"
-        ),
-        "members",
+    own = found.filter(F.col("own").isNotNull()).select("own.doc_id", "id", "own.n")
+    members = found.filter(F.col("own").isNull()).select("signature", "id")
+    classes = work.write(
+        own.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("first")), "classes"
     )
     wanted = work.write(members.select("id").distinct(), "wanted")
     sets = candidate_sets(docs, own, wanted, work, size)
-    linked = components_of(members, classes.select("id", "n"), sets, work, percent)
+    linked = components_of(members, sets, work, percent)
     named = work.write(
         classes.join(linked, "id", "left").select(
             "id", "first", F.coalesce("component", "id").alias("component")

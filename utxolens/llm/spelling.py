@@ -13,6 +13,8 @@ neighbours.
 - The relation is symmetric, so only deletions and replacements by a later letter are made;
   of a run of equal letters the last one is deleted. Each pair of words is then found from
   one side, and both directions are returned.
+- An edge knows the lengths of the words it leads to; a state goes along only if the length
+  it needs is among them.
 - Paths without a fork are one edge with a label. Edits are made at forks only: elsewhere
   the one way on is the word's own. A level thus is a fork, and the number of rounds doesn't
   follow the length of words.
@@ -41,8 +43,8 @@ LEAST_LENGTH = 5
 LEAST_COUNT = 3
 MISSPELT = 97
 DOMINANCE = 2
-COUNTS_KEPT = 400_000
-LETTERS_KEPT = 16 << 20
+COUNTS_KEPT = 100_000
+LETTERS_KEPT = 8 << 20
 ROWS_OUT = 20_000
 
 # Lower-cased already: U+00C0 to U+00FF count as letters, whatever they are.
@@ -200,22 +202,38 @@ def branches(steps: DataFrame, words: DataFrame, forked: DataFrame) -> DataFrame
     )
 
 
+def _length_bit(length: Column) -> Column:
+    """One of 64 bits for a length; the last one stands for all long words."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.least(length, F.lit(63)))
+
+
 def edges_of(branch: DataFrame) -> DataFrame:
-    """(node, letter, label, into, terminal): the edge table, one row per fork and letter.
+    """(node, letter, label, into, terminal, lengths): the edge table, one row per fork and
+    letter.
 
     All words on an edge have its label. An edge to a word's end, or the empty one of a word
-    that ends on a fork, has that word as ``terminal``.
+    that ends on a fork, has that word as ``terminal``. ``lengths`` has the bits of the
+    lengths of its words. A word that another one seeks from a fork has that fork behind its
+    own middle, so it is among them.
     """
     return branch.groupBy("node", F.substring("label", 1, 1).alias("letter")).agg(
         F.any_value("label").alias("label"),
         F.any_value("into").alias("into"),
         F.min(F.when(F.col("into").isNull(), F.col("word_id"))).alias("terminal"),
+        F.bit_or(_length_bit(F.length("own"))).alias("lengths"),
     )
 
 
 # ---------------------------------------------------------------- frontier
 
 
+# A state has the bit of the length that it needs as ``aim``.
+
+
+def _leads_to(aim: Column) -> Column:
+    return F.col("lengths").bitwiseAND(aim) != 0
+
+
 def _follow(states: DataFrame) -> DataFrame:
     """States after the edge they were joined with: its label, but for an edited first
     letter, must be what the word has from ``position`` on."""
@@ -223,7 +241,7 @@ def _follow(states: DataFrame) -> DataFrame:
     after = F.col("position") + F.length("label") - F.col("skipped")
     own = F.expr("substring(own, position + 1, length(label) - skipped)")
     return states.filter(own == rest).select(
-        "word_id", "own", after.cast("int").alias("position"), F.col("into").alias("node"), "terminal"
+        "word_id", "own", "aim", after.cast("int").alias("position"), F.col("into").alias("node"), "terminal"
     )
 
 
@@ -233,9 +251,11 @@ def replaced(branch: DataFrame, edges: DataFrame) -> DataFrame:
     spawned = branch.filter(F.col("place") < F.length("own")).select(
         "word_id", "own", "node", own_letter.alias("own_letter"),
         (F.col("place") + 1).alias("position"), F.lit(1).alias("skipped"),
+        _length_bit(F.length("own")).alias("aim"),
     )
     ways = edges.filter(F.col("letter") != "")
-    return _follow(spawned.join(ways, "node").filter(F.col("letter") > F.col("own_letter")))
+    later = (F.col("letter") > F.col("own_letter")) & _leads_to(F.col("aim"))
+    return _follow(spawned.join(ways, "node").filter(later))
 
 
 def deleted(branch: DataFrame) -> DataFrame:
@@ -243,7 +263,8 @@ def deleted(branch: DataFrame) -> DataFrame:
     here = F.substring("own", F.col("place") + 1, F.lit(1))
     following = F.substring("own", F.col("place") + 2, F.lit(1))
     return branch.filter((F.col("place") < F.length("own")) & (here != following)).select(
-        "word_id", "own", (F.col("place") + 1).cast("int").alias("position"), "node",
+        "word_id", "own", _length_bit(F.length("own") - 1).alias("aim"),
+        (F.col("place") + 1).cast("int").alias("position"), "node",
         F.lit(None).cast("long").alias("terminal"),
     )
 
@@ -257,7 +278,7 @@ def step(states: DataFrame, edges: DataFrame) -> DataFrame:
         .withColumn("letter", letter)
         .withColumn("skipped", F.lit(0))
     )
-    return _follow(asked.join(edges, ["node", "letter"]))
+    return _follow(asked.join(edges, ["node", "letter"]).filter(_leads_to(F.col("aim"))))
 
 
 def near_words(words: DataFrame, work: WorkTables) -> DataFrame:
@@ -269,7 +290,8 @@ def near_words(words: DataFrame, work: WorkTables) -> DataFrame:
     forked = work.write(forks(steps), "forks")
     branch = work.write(branches(steps, words, forked), "branches")
     edges = work.write(edges_of(branch), "edges")
-    frontier = work.write(replaced(branch, edges).unionByName(deleted(branch)), "frontier")
+    first = replaced(branch, edges).unionByName(step(deleted(branch), edges))
+    frontier = work.write(first, "frontier")
     levels = []
     while True:
         levels.append(
