@@ -1,5 +1,6 @@
 """Token ids, files, counts and packing against the libraries and brute force."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from utxolens.llm import packing, token_counts, token_files
+from utxolens.llm import caches, packing, token_counts, token_files
 from utxolens.llm.queries import vocabulary
 from utxolens.llm.tokens import WordEncoder
 
@@ -141,3 +142,29 @@ def test_a_full_trie_starts_again():
     words = ["▁the", "▁theory", "▁them", "▁naïve", "▁日本語", "▁" + "ab" * 80]
     assert [small.count(w) for w in words] == [large.count(w) for w in words]
     assert [large.count(w) for w in words] == [best_split(w, scores, byte_score) for w in words]
+
+
+def test_words_of_latin_letters_and_full_caches():
+    """Words outside ASCII go to the vocabulary by their bytes; small caches change nothing."""
+    from tokenizers import Tokenizer
+
+    path = PATH
+    library = Tokenizer.from_file(path)
+    encoder = WordEncoder(path)
+    encoder._words._limit = encoder._chunks._limit = 7
+    rng = random.Random(8)
+    letters = "abcXYZÀÉßÿØøþÐæçñ.,;!?'`-_9 \n<|>§ªºµ´́"
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+        assert len(encoder._words) <= 7 and len(encoder._words._older) <= 7
+
+
+def test_frequent_keys_outlive_a_full_cache():
+    made = []
+    cache = caches.TwoGenerations(lambda key: made.append(key) or key.upper(), 10, longest=4)
+    for i in range(200):
+        assert cache["hot"] == "HOT" and cache[f"k{i}"] == f"K{i}"
+    assert made.count("hot") == 1 and len(cache) <= 10
+    assert cache["longer"] == cache["longer"] == "LONGER" and made.count("longer") == 2

@@ -436,14 +436,13 @@ def components_of(
     components = _Components(work, told)
     groups = work.write(distinct_groups(members), "groups").select("signature")
     kept = join_back(members.select("signature", "id"), groups, "signature", how="left_semi")
-    columns = ["signature", "id", "n", "weight", *SKETCH]
-    live = work.write(join_back(kept, told, "id").select(*columns), "live")
+    live = work.write(kept.select("signature", "id"), "live")
     tested: DataFrame | None = None
     round_nr = 0
     while not live.isEmpty():
-        named = live.withColumn("component", F.col("id"))
-        if round_nr:
-            named = join_back(live, components.table, "id")
+        # what pairs are judged by is looked up anew each round: groups move without it
+        known = told.join(components.table, "id")
+        named = work.write(join_back(live, known, "id"), "named")
         centres = work.write(centres_of(named, round_nr), "centres")
         pairs = (
             named.join(centres, "signature")
@@ -454,18 +453,20 @@ def components_of(
         if tested is not None:
             pairs = pairs.join(tested, ["src", "dst"], "left_anti")
         pairs = work.write(pairs, "pairs")
+        work.drop(named)
         components.add(work.write(verified(pairs, sets, percent), "links"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         used = centres.select("signature", F.col("centre_id").alias("id"))
-        rest = join_back(live.join(used, ["signature", "id"], "left_anti"), components.table, "id")
-        rest = work.write(rest, "rest")
+        rest = live.join(used, ["signature", "id"], "left_anti")
+        rest = work.write(join_back(rest, components.table, "id"), "rest")
+        work.drop(live)
         groups = rest.groupBy("signature").agg(
             F.min("component").alias("low"), F.max("component").alias("high")
         )
         open_groups = work.write(groups.filter("low != high").select("signature"), "open")
-        live = work.write(
-            join_back(rest, open_groups, "signature", how="left_semi").select(*columns), "live"
-        )
+        still = join_back(rest, open_groups, "signature", how="left_semi")
+        live = work.write(still.select("signature", "id"), "live")
+        work.drop(rest)
         round_nr += 1
     return components.table
 

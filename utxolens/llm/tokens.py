@@ -3,82 +3,84 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS_KEPT = 400_000
-CHUNKS_KEPT = 300_000
-LONGEST_KEPT = 48
+from utxolens.llm.caches import TwoGenerations
+
+WORDS_KEPT = 300_000
+CHUNKS_KEPT = 400_000
 
 # Latin letters without marks of their own, then ASCII signs other than the apostrophe.
 # Such a chunk is two pre-tokens at most, and lower-casing maps each letter to one letter.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: the byte's own
+    Latin-1 one if that can be printed, else one of those from U+0100 on, in order."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [byte for byte in range(0x100) if byte not in printed]
+    return {byte: chr(byte) for byte in printed} | {byte: chr(0x100 + i) for i, byte in enumerate(others)}
+
+
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit numbers.
 
     For a tokenizer that drops white space and never looks across it: the ids of a
     text are those of its space-separated chunks, one after the other. Most chunks
     repeat, so the library is asked once per lower-cased word and the answers are
-    kept, up to a fixed number. A chunk that is not a plain word with signs behind
-    it goes through the whole tokenizer.
+    kept, up to a fixed number; what is asked for again stays. A word of Latin letters is
+    one pre-token, so the vocabulary is asked for its bytes directly. A chunk that is not
+    a plain word with signs behind it goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._words: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {"": b""}
+        self._model = self._tokenizer.model
+        self._letters = _byte_letters()
+        self._words = TwoGenerations(self._word, WORDS_KEPT)
+        self._chunks = TwoGenerations(self._chunk, CHUNKS_KEPT)
 
     def _whole(self, text: str) -> bytes:
-        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _part(self, text: str) -> bytes:
-        found = self._words.get(text)
-        if found is None:
-            if text.isascii() and text.isalpha():
-                ids = [token.id for token in self._tokenizer.model.tokenize(text)]
-                found = np.array(ids, dtype="<u4").tobytes()
-            else:
-                found = self._whole(text)
-            if len(self._words) >= WORDS_KEPT:
-                self._words.clear()
-            if len(text) <= LONGEST_KEPT:
-                self._words[text] = found
-        return found
+        return pack_ids(self._tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, text: str) -> bytes:
+        """Ids of a lower-cased word of Latin letters, or of signs."""
+        if not text.isalpha():
+            return self._whole(text)
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self._letters)
+        return pack_ids([token.id for token in self._model.tokenize(text)])
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._words[chunk.lower()]
         plain = _PLAIN.fullmatch(chunk)
         if plain is None:
-            found = self._whole(chunk)
-        else:
-            letters, signs = plain.groups()
-            found = self._part(letters.lower()) if letters else b""
-            if signs:
-                found += self._part(signs)
-        if len(self._chunks) >= CHUNKS_KEPT:
-            self._chunks.clear()
-            self._chunks[""] = b""
-        if len(chunk) <= LONGEST_KEPT:
-            self._chunks[chunk] = found
-        return found
+            return self._whole(chunk)
+        letters, signs = plain.groups()
+        found = self._words[letters.lower()] if letters else b""
+        return found + self._words[signs] if signs else found
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        kept, new = self._chunks.get, self._chunk
-        parts = []
-        for chunk in text.replace("\n", " ").split(" "):
-            found = kept(chunk)
-            parts.append(new(chunk) if found is None else found)
-        return b"".join(parts)
+        return b"".join(map(self._chunks.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
