@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from utxolens.operators import graph_queries, utxo
+from utxolens.functions.hot_keys import join_back
+from utxolens.operators import change, edges, entities, graph_algorithms, graph_queries, utxo
 from utxolens.sources import storage
 from utxolens.sources.derived import derived_ledger
 
@@ -104,3 +105,77 @@ def test_work_tables_use_the_shared_folder(spark, tmp_path):
     work.drop(table)
     with pytest.raises(Exception):
         spark.read.parquet(work.folder + "/00000-rows")
+
+
+def hot_spends(spark, folder):
+    """Spends and members with a third of the rows on transaction 0, as written tables."""
+    n = 9000
+    tx_id = F.expr("if(id % 3 = 0, 0L, id % 3000 + 1)")
+    spends = spark.range(n).select(
+        "id",
+        tx_id.alias("tx_id"),
+        (F.col("id") % 7).alias("value"),
+        F.expr("concat('address of some length ', id)").alias("address"),
+        F.expr("if(id % 3 = 1, 0L, id % 3000 + 5)").alias("spent_in"),
+        F.expr("cast(id as int)").alias("idx"),
+    )
+    spends.repartition(8).write.parquet(f"{folder}/spends")
+    return spark.read.parquet(f"{folder}/spends")
+
+
+def _components(spends):
+    links = spends.select(F.col("id").alias("high"), F.expr("if(id % 3 = 0, -1L, -id % 2999)").alias("low"))
+    return graph_algorithms._large_star(links)
+
+
+def _small_components(spends):
+    links = spends.select(F.expr("if(id % 3 = 0, 10000L, id % 2999 + 10001)").alias("high"), F.col("id").alias("low"))
+    return graph_algorithms._small_star(links)
+
+
+def _shapes(spends):
+    return spends.groupBy("tx_id").agg(
+        F.lit(2).alias("n_inputs"), F.lit(2).alias("n_outputs"), (F.min("value") + 3).alias("least_input")
+    )
+
+
+HOT = {
+    "large star": _components,
+    "small star": _small_components,
+    "member links": lambda s: entities.member_links(
+        s.select("tx_id", "address"), s.select("address", F.col("id").alias("nr"))
+    ),
+    "cluster members": lambda s: entities.cluster_members(s, s.select("tx_id", F.col("id").alias("out_id")).limit(0)),
+    "optimal change": lambda s: change.change_optimal(s, _shapes(s)),
+    "optimal change as coded": lambda s: change.change_optimal(s, _shapes(s), True),
+    "peeling change": lambda s: change.change_peeling(s, _shapes(s).withColumn("n_inputs", F.lit(1))),
+    "neighbour sets": lambda s: edges.neighbour_sets(s.select("tx_id", "address"), "tx_id", "address").withColumn(
+        "neighbours", F.sort_array("neighbours")
+    ),
+    "degrees": lambda s: join_back(s.select("tx_id", "id"), s.groupBy("tx_id").count(), "tx_id"),
+}
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_a_hot_key_meets_its_aggregate_in_several_tasks(spark, small_partitions, tmp_path, name):
+    spends = hot_spends(spark, str(tmp_path))
+    found = HOT[name](spends)
+    got = sorted(map(str, found.collect()))
+    assert "skew=true" in plan(found)
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert got == sorted(map(str, HOT[name](spends).collect())) and got
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+
+
+def test_join_back_keeps_types_of_join_and_null_keys(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
+    totals = rows.groupBy("k").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, join_back(rows, totals, "k").collect())) == [(1, "a", 2), (1, "b", 2), (2, "c", 1)]
+    left = join_back(rows, totals.filter("k = 1"), "k", how="left")
+    assert sorted((r.v, r.n) for r in left.collect() if r.n) == [("a", 2), ("b", 2)] and left.count() == 4
+    semi = join_back(rows, totals.filter("n > 1"), "k", how="left_semi")
+    assert semi.columns == ["k", "v"] and semi.count() == 2

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from utxolens.functions.hot_keys import join_back
+
 
 def output_spends(tx_out: DataFrame, tx_in: DataFrame) -> DataFrame:
     """(id, tx_id, address, value, spent_in): every output and who spends it, if anyone.
@@ -83,8 +85,9 @@ def change_optimal(spends: DataFrame, shapes: DataFrame, as_coded: bool = False)
     """
     several = shapes.filter((F.col("n_inputs") > 1) & (F.col("n_outputs") > 1))
     low = (
-        spends.select("id", "tx_id", "value")
-        .join(several.select("tx_id", "least_input"), "tx_id")
+        join_back(
+            spends.select("id", "tx_id", "value"), several.select("tx_id", "least_input"), "tx_id"
+        )
         .filter(F.col("value") < F.col("least_input"))
         .select("tx_id", "id")
     )
@@ -92,7 +95,7 @@ def change_optimal(spends: DataFrame, shapes: DataFrame, as_coded: bool = False)
     if not as_coded:
         return first.filter(F.col("n") == 1).select("tx_id", "out_id")
     second = (
-        low.join(first.select("tx_id", "out_id"), "tx_id")
+        join_back(low, first.select("tx_id", "out_id"), "tx_id")
         .filter(F.col("id") > F.col("out_id"))
         .groupBy("tx_id")
         .agg(F.min("id").alias("second_id"))
@@ -111,9 +114,12 @@ def change_peeling(spends: DataFrame, shapes: DataFrame) -> DataFrame:
         (F.col("n_inputs") == 1) & (F.col("n_outputs") == 2)
     ).select("tx_id")
     return (
-        spends.select("id", "tx_id", "spent_in")
-        .join(one_in_two_out, "tx_id", "left_semi")
-        .join(one_in_two_out.withColumnRenamed("tx_id", "spent_in"), "spent_in", "left_semi")
+        join_back(
+            join_back(spends.select("id", "tx_id", "spent_in"), one_in_two_out, "tx_id", how="left_semi"),
+            one_in_two_out.withColumnRenamed("tx_id", "spent_in"),
+            "spent_in",
+            how="left_semi",
+        )
         .groupBy("tx_id")
         .agg(F.max("id").alias("out_id"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utxolens.functions.amounts import ada, long_sum, token_text
+from utxolens.functions.hot_keys import join_back
 from utxolens.operators.utxo import input_edges, output_edges, spent_outputs
 
 
@@ -322,7 +323,7 @@ def neighbour_sets(pairs: DataFrame, node: str, neighbour: str, max_size: int =
         F.ceil(F.col("_degree") * 2 / max_size)
     )
     return (
-        pairs.join(sizes, node)
+        join_back(pairs, sizes, node)
         .withColumn("part", F.pmod(F.xxhash64(neighbour), parts))
         .groupBy(node, "part")
         .agg(F.collect_list(neighbour).alias("neighbours"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from utxolens.functions.hot_keys import join_back
 from utxolens.operators.change import all_change, output_spends
 from utxolens.operators.edges import neighbour_sets
 from utxolens.operators.graph_algorithms import connected_components
@@ -31,7 +32,7 @@ def cluster_members(spends: DataFrame, change: DataFrame) -> DataFrame:
         every.groupBy("tx_id").agg(F.sum("uses").alias("all_uses")).filter(F.col("all_uses") > 1)
     )
     return (
-        every.join(enough, "tx_id", "left_semi").select("tx_id", "address").distinct()
+        join_back(every, enough, "tx_id", how="left_semi").select("tx_id", "address").distinct()
     )
 
 
@@ -50,7 +51,7 @@ def member_links(members: DataFrame, numbers: DataFrame) -> DataFrame:
     numbered = members.join(numbers, "address").select("tx_id", "nr")
     centre = numbered.groupBy("tx_id").agg(F.min("nr").alias("dst"))
     return (
-        numbered.join(centre, "tx_id")
+        join_back(numbered, centre, "tx_id")
         .filter(F.col("nr") != F.col("dst"))
         .select(F.col("nr").alias("src"), "dst")
     )
@@ -134,7 +135,7 @@ def transaction_documents(
     sizes = rows.groupBy("of_tx").agg(F.count("*").alias("rows"))
     parts = F.ceil(F.col("rows") / part_size)
     nested = (
-        rows.join(sizes, "of_tx")
+        join_back(rows, sizes, "of_tx")
         .withColumn("part", F.pmod(F.xxhash64("output.id"), parts))
         .groupBy("of_tx", "part")
         .agg(

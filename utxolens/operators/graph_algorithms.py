@@ -237,9 +237,7 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     high = degree.select(F.col("id").alias("high"), F.col("degree").alias("high_degree"))
     forward = F.struct("low_degree", "low") < F.struct("high_degree", "high")
     pointed = work.write(
-        links.join(low, "low")
-        .join(high, "high")
-        .select(
+        join_back(join_back(links, low, "low"), high, "high").select(
             F.when(forward, F.col("low")).otherwise(F.col("high")).alias("a"),
             F.when(forward, F.col("high")).otherwise(F.col("low")).alias("b"),
         ),
@@ -373,7 +371,7 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     if settled is None:
         return vertices.withColumn("component", F.col("id"))
     names = settled.groupBy("component").agg(F.min("id").alias("smallest"))
-    named = settled.join(names, "component").select("id", "smallest")
+    named = join_back(settled, names, "component").select("id", "smallest")
     return vertices.join(named, "id", "left").select(
         "id", F.coalesce("smallest", "id").alias("component")
     )

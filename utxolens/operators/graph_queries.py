@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utxolens.functions.amounts import ada
+from utxolens.functions.hot_keys import join_back
 from utxolens.operators.utxo import input_edges, network_edges, output_edges
 
 
@@ -100,7 +101,7 @@ def address_degrees(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame) -> DataF
         F.sum("ins").alias("all_ins"), F.sum("outs").alias("all_outs")
     )
     return (
-        ends.join(totals, "tx_id")
+        join_back(ends, totals, "tx_id")
         .groupBy("address")
         .agg(
             F.sum(F.col("ins") * (F.col("all_outs") - F.col("outs"))).alias("out_degree"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utxolens.functions.amounts import ada, ada_sum
+from utxolens.functions.hot_keys import join_back
 from utxolens.functions.ranking import dense_ids
 
 
@@ -268,7 +269,7 @@ def co_input_links(tx_out: DataFrame, tx_in: DataFrame) -> DataFrame:
     inputs = tx_input_addresses(tx_out, tx_in)
     first = inputs.groupBy("tx_id").agg(F.min("address").alias("input1"))
     return (
-        inputs.join(first, "tx_id")
+        join_back(inputs, first, "tx_id")
         .filter(F.col("address") != F.col("input1"))
         .select("tx_id", "input1", F.col("address").alias("input2"))
     )
