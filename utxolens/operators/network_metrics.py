@@ -75,7 +75,8 @@ def histogram_map(hist: DataFrame, value: str = "value", count: str = "count") -
 
 
 def output_lifetimes(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame) -> DataFrame:
-    """Outputs with ``created_block`` and ``spent_block`` (null while unspent).
+    """Outputs with ``created_block`` and ``spent_block`` (null while unspent), and with
+    the transactions that made (``tx_id``) and spent them (``spent_in``).
 
     A spend by an unknown transaction gives ``spent_block`` null with
     ``has_spend`` true.
@@ -91,8 +92,10 @@ def output_lifetimes(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame) -> Data
         .join(spends, ["tx_id", "idx"], "left")
         .select(
             "id",
+            "tx_id",
             "address",
             "value",
+            F.col("tx_in_id").alias("spent_in"),
             "created_block",
             "spent_block",
             F.col("tx_in_id").isNotNull().alias("has_spend"),
@@ -176,45 +179,55 @@ def balance_series(lifetimes: DataFrame, entity: DataFrame, cut_offs: Sequence[i
     )
 
 
-def gini_index(balances: DataFrame, column: str = "balance") -> DataFrame:
-    """One row (gini_index, n): Gini index of the values of a column.
+def wealth_of(hist: DataFrame) -> DataFrame:
+    """One row (gini_index, gini_index_no_zeros, average_wealth, n) of a histogram (value,
+    count), a stored table.
 
-    Works on the histogram of the values. A run of m equal values x with c values
-    before it adds x * m * (2c + m - n). Negative values are shifted to start at 0,
-    and the epsilon keeps an all-zero input defined.
+    A run of m equal values x with c values before it adds x * m * (2c + m - n) to the
+    spread. Negative values are shifted to start at 0, and the epsilon keeps an all-zero
+    input defined. Among the positive values alone, a run has as many values fewer before
+    it as there are others, so both indices come from one ranking.
     """
     value, count = F.col("value").cast("decimal(38,0)"), F.col("count").cast("decimal(38,0)")
-    hist = materialize(histogram(balances, column), "histogram")
     ranked = counts_before(hist, "value", "count")
     n = hist.agg(F.sum("count")).scalar()
-    run = 2 * F.col("before") + F.col("count") - n
+    others = hist.agg(F.coalesce(F.sum(F.when(F.col("value") <= 0, F.col("count"))), F.lit(0))).scalar()
+    positive = F.col("value") > 0
+
+    def spread(before: Column, size: Column) -> Column:
+        run = (F.col("count") * (2 * before + F.col("count") - size)).cast("decimal(38,0)")
+        return (value * run).cast("decimal(38,0)")
+
     sums = ranked.agg(
-        F.sum((value * (F.col("count") * run).cast("decimal(38,0)")).cast("decimal(38,0)")).alias("spread"),
+        F.sum(spread(F.col("before"), n)).alias("spread"),
+        F.sum(F.when(positive, spread(F.col("before") - others, n - others))).alias("positive_spread"),
         F.sum((value * count).cast("decimal(38,0)")).alias("total"),
-        F.sum("count").alias("n"),
+        F.sum(F.when(positive, (value * count).cast("decimal(38,0)"))).alias("positive_total"),
+        F.coalesce(F.sum("count"), F.lit(0)).alias("n"),
+        F.sum(F.when(positive, F.col("count"))).alias("positive_n"),
         F.least(F.min("value"), F.lit(0)).alias("shift"),
     )
-    size = F.col("n").cast("double")
+    size, few = F.col("n").cast("double"), F.col("positive_n").cast("double")
     total = (
         F.col("total").cast("double") - size * F.col("shift").cast("double") + size * GINI_EPSILON
     )
+    positive_total = F.col("positive_total").cast("double") + few * GINI_EPSILON
     return sums.select(
-        (F.col("spread").cast("double") / (size * total)).alias("gini_index"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+        F.when(size > 0, F.col("spread").cast("double") / (size * total)).alias("gini_index"),
+        (F.col("positive_spread").cast("double") / (few * positive_total)).alias("gini_index_no_zeros"),
+        F.when(size > 0, F.col("total").cast("double") / size).alias("average_wealth"),
+        "n",
     )
 
 
+def gini_index(balances: DataFrame, column: str = "balance") -> DataFrame:
+    """One row (gini_index, n): Gini index of the values of a column."""
+    return wealth_of(materialize(histogram(balances, column), "histogram")).select("gini_index", "n")
+
+
 def wealth(balances: DataFrame) -> DataFrame:
-    """One row (gini_index, gini_index_no_zeros, average_wealth)."""
-    every = gini_index(balances).select("gini_index")
-    positive = gini_index(balances.filter(F.col("balance") > 0)).select("gini_index")
-    return balances.agg(
-        (wide_sum("balance").cast("double") / F.count("*")).alias("average_wealth")
-    ).select(
-        every.scalar().alias("gini_index"),
-        positive.scalar().alias("gini_index_no_zeros"),
-        "average_wealth",
-    )
+    """One row (gini_index, gini_index_no_zeros, average_wealth), from one histogram."""
+    return wealth_of(materialize(histogram(balances, "balance"), "histogram")).drop("n")
 
 
 def core_histogram(degrees: DataFrame, column: str = "degree") -> DataFrame:
@@ -226,10 +239,12 @@ def core_histogram(degrees: DataFrame, column: str = "degree") -> DataFrame:
     with k <= degree. In a run of equal degrees after ``before`` others that is
     the smaller of the degree and the last place of the run.
     """
-    hist = materialize(
-        degrees.groupBy(F.col(column).alias("degree")).agg(F.count("*").alias("count")),
-        "histogram",
-    )
+    hist = degrees.groupBy(F.col(column).alias("degree")).agg(F.count("*").alias("count"))
+    return core_of(materialize(hist, "histogram"))
+
+
+def core_of(hist: DataFrame) -> DataFrame:
+    """:func:`core_histogram` of a histogram (degree, count), a stored table."""
     ranked = counts_before(hist, "degree", "count", descending=True)
     last = F.least(F.col("before") + F.col("count") - 1, F.col("degree"))
     best = ranked.agg(F.max(F.when(F.col("before") <= F.col("degree"), last))).scalar()

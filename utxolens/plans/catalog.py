@@ -22,7 +22,7 @@ from utxolens.operators import (
     utxo,
 )
 from utxolens.session import tune
-from utxolens.streaming import entity_state, feeds, incremental
+from utxolens.streaming import entity_state, feeds, incremental, snapshot_series
 from utxolens.sources.derived import Ledger, derived_ledger
 from utxolens.sources.sinks import append_batch
 from utxolens.sources.storage import WorkTables, is_folder, listing, materialize
@@ -916,6 +916,18 @@ def _balance_series(spark: SparkSession, folder: str) -> DataFrame:
     return network_metrics.balance_series(lifetimes, stored_entities(spark, folder), cut_offs)
 
 
+def _snapshot_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics at four blocks, carried from each to the next."""
+    ledger = ledger_of(spark, folder)
+    last = ledger.tx.agg(F.max("block_id")).first()[0]
+    found = snapshot_series.snapshot_series(
+        ledger.tx, ledger.tx_in, ledger.tx_out, [last * quarter // 4 for quarter in (1, 2, 3, 4)]
+    )
+    return found.withColumns(
+        {name: F.round(name, 9) for name in ("gini_index", "gini_index_no_zeros")}
+    )
+
+
 def _series_ratios(spark: SparkSession, folder: str) -> DataFrame:
     """Ratios of the snapshot at the last block."""
     last = ledger_of(spark, folder).tx.agg(F.max("block_id")).scalar()
@@ -934,6 +946,7 @@ _register("stream_messages", _stream_messages)
 _register("address_neighbours", _address_neighbours)
 _register("balance_series", _balance_series)
 _register("series_ratios", _series_ratios)
+_register("snapshot_series", _snapshot_series)
 _register("stream_ada_rewards_by_type", _stream_rewards_by_type)
 _register("stream_token_supply", _stream_token_supply)
 _register(

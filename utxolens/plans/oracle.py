@@ -789,6 +789,31 @@ STRONG: dict[str, str] = {
 }
 
 
+def _snapshot(quarter: int) -> str:
+    """Metrics of the ledger up to a block, clustered on its own."""
+    cut = f"(select cast(floor(max(floor(o_orderkey / 8)) * {quarter} / 4) as bigint) from orders)"
+    ledger = LEDGER.replace("value from outputs),", f"value from outputs where floor(tx_id / 8) <= {cut}),").replace(
+        "where o.supp % 4 <> 0)", f"where o.supp % 4 <> 0 and t.block_id <= {cut})"
+    )
+    entities = ENTITIES.replace("(select max(block_id) as last from tx)", f"(select {cut} as last)")
+    return f"""select * from (with recursive {ledger}, {entities}
+        select {cut} as cut_off, count(distinct entity_id) as no_ent, count(*) as no_addr,
+               (select max(n) from (select count(*) as n from entity group by entity_id)) as largest_entity,
+               (select count(*) from (
+                  select distinct least(src, dst), greatest(src, dst) from entity_link)) as links,
+               (select k_best from core) as core_length,
+               round({_gini('true')}, 9) as gini_index,
+               round({_gini('balance > 0')}, 9) as gini_index_no_zeros,
+               (select cast(sum(balance) as double) / count(*) from entity_balance)
+                 as average_wealth
+        from entity)"""
+
+
+SERIES: dict[str, str] = {
+    "snapshot_series": " union all ".join(_snapshot(quarter) for quarter in (1, 2, 3, 4))
+}
+
+
 def oracle_sql() -> dict[str, str]:
     plain = {
         name: f"with {LEDGER}{',' if _is_with(body) else ''} {_strip_with(body)}"
@@ -802,7 +827,7 @@ def oracle_sql() -> dict[str, str]:
         name: f"with recursive {LEDGER}, {ENTITIES}, {_strong()} {body}"
         for name, body in STRONG.items()
     }
-    return {**plain, **recursive, **ranks, **strong}
+    return {**plain, **recursive, **ranks, **strong, **SERIES}
 
 
 def _is_with(body: str) -> bool:

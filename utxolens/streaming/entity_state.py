@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,18 +60,36 @@ def members_of(spends: DataFrame, touched: DataFrame) -> DataFrame:
     return cluster_members(rows, change).join(touched, "tx_id", "left_semi")
 
 
-def update_entities(
-    stored: DataFrame, stored_members: DataFrame, spends: DataFrame, new_txs: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Entities and members after ``new_txs``, equal to a full rebuild.
+@dataclass(frozen=True)
+class EntityChange:
+    """Entities after some transactions, and what has changed for it."""
+
+    entity: DataFrame  # (address, entity_id)
+    members: DataFrame  # (tx_id, address)
+    merges: DataFrame  # (id, component) of entities and new numbers that met
+    broken: DataFrame  # (entity_id) of entities taken apart
+    loose: DataFrame  # (address) of their addresses
+    unknown: DataFrame  # (address, nr) of new addresses
+
+
+def change_entities(
+    stored: DataFrame,
+    stored_members: DataFrame,
+    spends: DataFrame,
+    touched: DataFrame,
+    own: DataFrame,
+    unknown: DataFrame,
+) -> EntityChange:
+    """Entities and members after ``touched`` transactions, equal to a full rebuild.
 
     Stored entities stand for all of their addresses, so components run on the
     entities that the touched transactions connect. Only where a transaction no
     longer shows what it did are the entities of its members taken apart and built
-    again from their own transactions.
+    again from their own transactions. ``own`` (address, nr) has the numbers of all
+    addresses, ``unknown`` those of the addresses not stored yet.
     """
     work = WorkTables(spends.sparkSession, "entity-update")
-    touched = work.write(touched_transactions(spends, new_txs), "touched")
+    touched = work.write(touched, "touched")
     fresh = work.write(members_of(spends, touched), "fresh")
     before = stored_members.join(touched, "tx_id", "left_semi").select("tx_id", "address")
     withdrawn = before.join(fresh, ["tx_id", "address"], "left_anti")
@@ -81,12 +100,12 @@ def update_entities(
         "members",
     )
 
-    broken = (
-        withdrawn.select("address").distinct().join(stored, "address").select("entity_id").distinct()
+    broken = work.write(
+        withdrawn.select("address").distinct().join(stored, "address").select("entity_id").distinct(),
+        "broken",
     )
-    loose = stored.join(broken, "entity_id", "left_semi").select("address")
-    own = address_numbers(spends)
-    unknown = own.join(stored, "address", "left_anti").select("address", "nr")
+    loose = work.write(stored.join(broken, "entity_id", "left_semi").select("address"), "loose")
+    unknown = work.write(unknown.select("address", "nr"), "unknown")
     base = work.write(
         stored.join(broken, "entity_id", "left_anti")
         .select("address", F.col("entity_id").alias("nr"))
@@ -98,11 +117,23 @@ def update_entities(
         members.join(loose, "address", "left_semi").select("tx_id").unionByName(touched).distinct()
     )
     links = member_links(members.join(rebuild, "tx_id", "left_semi"), base)
-    components = connected_components(links)
-    after = base.join(components.withColumnRenamed("id", "nr"), "nr", "left").select(
+    merges = work.write(connected_components(links), "merges")
+    after = base.join(merges.withColumnRenamed("id", "nr"), "nr", "left").select(
         "address", F.coalesce("component", "nr").alias("entity_id")
     )
-    return work.write(after, "entities"), members
+    return EntityChange(work.write(after, "entities"), members, merges, broken, loose, unknown)
+
+
+def update_entities(
+    stored: DataFrame, stored_members: DataFrame, spends: DataFrame, new_txs: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Entities and members after ``new_txs``: :func:`change_entities` where nothing but
+    the entities and members of the transactions before is at hand."""
+    own = address_numbers(spends)
+    unknown = own.join(stored, "address", "left_anti")
+    touched = touched_transactions(spends, new_txs)
+    found = change_entities(stored, stored_members, spends, touched, own, unknown)
+    return found.entity, found.members
 
 
 def snapshot_cut_offs(block: DataFrame, months: int = 4) -> DataFrame:
