@@ -5,7 +5,7 @@ from ledgers import Book, random_book, rows
 from utxolens.operators import tokens, utxo
 from utxolens.schemas import schema
 from utxolens.sources import sinks, streams, tables
-from utxolens.streaming import entity_state, feeds, incremental
+from utxolens.streaming import entity_state, event_windows, feeds, incremental
 
 
 def test_increments_equal_a_full_run(spark, tmp_path):
@@ -215,3 +215,27 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{root}/edges/PAYS").count() == 1
     assert len(sinks.to_pandas(pools, 1)) == 1
     sinks.show(pools)
+
+
+def test_event_windows_drop_and_count_late_rows(spark, tmp_path):
+    """Each run is a batch; a day is closed once the latest event is two days past its end."""
+    batches = [
+        [("2024-01-01 10:00", "a"), ("2024-01-02 09:00", "b")],
+        [("2024-01-01 11:00", "a"), ("2024-01-05 12:00", "a")],
+        # days up to the 2nd are closed now, the 3rd is not
+        [("2024-01-01 23:00", "a"), ("2024-01-02 23:00", "b"), ("2024-01-03 01:00", "b")],
+        [("2024-01-09 00:00", "a"), ("2024-01-03 02:00", "b")],
+    ]
+    events = None
+    for batch in batches:
+        rows_of = spark.createDataFrame(batch, "ts string, event_type string").selectExpr(
+            "cast(ts as timestamp) as ts", "event_type"
+        )
+        rows_of.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        events = spark.read.parquet(f"{tmp_path}/events")
+        stream = streams.file_stream(spark, f"{tmp_path}/events", events.schema)
+        event_windows.window_feed(stream, f"{tmp_path}/windows", f"{tmp_path}/checkpoint")
+    counts = event_windows.read_window_counts(spark.read.parquet(f"{tmp_path}/windows"))
+    got = [(r.window_start.strftime("%d"), r.event_type, r.events) for r in counts.collect()]
+    assert sorted(got) == [("01", "a", 2), ("02", "b", 1), ("03", "b", 2), ("05", "a", 1), ("09", "a", 1)]
+    assert rows(event_windows.late_events(events, counts)) == [("a", 1), ("b", 1)]

@@ -183,11 +183,16 @@ def weighted_edges(pairs: DataFrame) -> DataFrame:
     )
 
 
-def adjacency_sizes(pairs: DataFrame) -> DataFrame:
-    """Number of neighbours of each node, in either direction."""
-    both = (
+def both_directions(pairs: DataFrame) -> DataFrame:
+    """Distinct (src, dst) of pairs and turned pairs: each node with its neighbours."""
+    return (
         pairs.select("src", "dst")
         .unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         .distinct()
     )
+
+
+def adjacency_sizes(pairs: DataFrame) -> DataFrame:
+    """Number of neighbours of each node, in either direction."""
+    both = both_directions(pairs)
     return both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("neighbours"))

@@ -22,7 +22,7 @@ from utxolens.operators import (
     utxo,
 )
 from utxolens.session import tune
-from utxolens.streaming import entity_state, feeds, incremental, snapshot_series
+from utxolens.streaming import entity_state, event_windows, feeds, incremental, snapshot_series
 from utxolens.sources.derived import Ledger, derived_ledger
 from utxolens.sources.sinks import append_batch
 from utxolens.sources.storage import WorkTables, is_folder, listing, materialize
@@ -589,6 +589,38 @@ def transaction_document_sizes(t):
     )
 
 
+@dataset
+def nested_transactions(t):
+    """The outputs nested in each transaction, one row each."""
+    documents = entities.transaction_documents(t.tx, t.tx_in, t.tx_out)
+    side = lambda name: documents.select(
+        F.col("id").alias("of_tx"), "hash", "block_id", F.lit(name).alias("side"), F.explode(name).alias("output")
+    )
+    return side("inputs").unionByName(side("outputs")).select("of_tx", "hash", "block_id", "side", "output.*")
+
+
+@dataset
+def neighbour_members(t):
+    """The members of each neighbour set: whom an address pays and who pays it."""
+    pairs = materialize(edges.address_pairs(t.tx_in, t.tx_out, different_ends=False), "neighbours")
+
+    def members(node: str, neighbour: str, side: str) -> DataFrame:
+        sets = edges.neighbour_sets(pairs, node, neighbour)
+        return sets.select(
+            F.col(node).alias("address"), F.lit(side).alias("side"), F.explode("neighbours").alias("neighbour")
+        )
+
+    return members("src", "dst", "outputs").unionByName(members("dst", "src", "inputs"))
+
+
+@dataset
+def adjacency(t):
+    """The neighbours of each address in either direction, from lists that are stored in parts."""
+    pairs = graph_queries.both_directions(edges.address_pairs(t.tx_in, t.tx_out))
+    lists = edges.neighbour_sets(materialize(pairs, "adjacency"), "src", "dst")
+    return lists.select(F.col("src").alias("id"), F.explode("neighbours").alias("neighbour"))
+
+
 @dataset
 def network_edge_table(t):
     return graph_queries.network_edge_table(t.tx, t.tx_in, t.tx_out)
@@ -889,6 +921,52 @@ def _stream_messages(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.stored_table(spark, f"{target}/events", _EVENTS).drop("batch_id")
 
 
+def _inputs_in_files(spark: SparkSession, ledger: Ledger, target: str) -> DataFrame:
+    """The ledger's inputs as a stream of three files, one to a batch."""
+    ledger.tx_in.repartitionByRange(3, "id").write.parquet(f"{target}/tx_in")
+    return file_stream(spark, f"{target}/tx_in", ledger.tx_in.schema, files_per_batch=1)
+
+
+def _stream_network(spark: SparkSession, folder: str) -> DataFrame:
+    """The network as inputs arrive, in three batches, read back."""
+    ledger, target = ledger_of(spark, folder), WorkTables(spark, "stream-network").folder
+    inputs = _inputs_in_files(spark, ledger, target)
+    feeds.network_feed(inputs, ledger.tx, ledger.tx_out, f"{target}/network", f"{target}/checkpoint")
+    return spark.read.parquet(f"{target}/network").drop("batch_id")
+
+
+def _stream_id_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges by address id as inputs arrive, in three batches, read back."""
+    ledger, target = ledger_of(spark, folder), WorkTables(spark, "stream-edges").folder
+    addresses = materialize(utxo.address_ids(ledger.tx_out), "addresses")
+    inputs = _inputs_in_files(spark, ledger, target)
+    feeds.edge_feed(inputs, ledger.tx, ledger.tx_out, addresses, target, f"{target}/checkpoint")
+    return spark.read.parquet(f"{target}/edges/TRANSACTED_WITH").drop("batch_id")
+
+
+def _stream_event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by day and type, arriving in six batches with some of them late: the counts,
+    and per type how many came too late (window_start null)."""
+    target = WorkTables(spark, "stream-events").folder
+    events = spark.read.parquet(f"{folder}/events.parquet").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"
+    )
+    # a thirteenth of the events is one batch late, another thirteenth two
+    delay = F.when(F.col("event_id") % 13 < 2, F.col("event_id") % 13 + 1).otherwise(0)
+    arrival = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 8) + delay
+    for batch in range(6):
+        events.filter(arrival == batch).write.mode("append").parquet(f"{target}/events")
+        arrived = file_stream(spark, f"{target}/events", events.schema)
+        event_windows.window_feed(arrived, f"{target}/windows", f"{target}/checkpoint")
+    counts = event_windows.read_window_counts(
+        incremental.stored_table(spark, f"{target}/windows", event_windows.COUNTS)
+    )
+    late = event_windows.late_events(events, counts).withColumn("window_start", F.lit(None).cast("timestamp"))
+    return counts.unionByName(late).withColumn(
+        "window_start", F.date_format("window_start", "yyyy-MM-dd")
+    )
+
+
 def _address_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes of the neighbour sets: who each address pays and who pays it."""
     ledger = ledger_of(spark, folder)
@@ -943,6 +1021,9 @@ def _series_ratios(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _register("stream_messages", _stream_messages)
+_register("stream_network", _stream_network)
+_register("stream_id_edges", _stream_id_edges)
+_register("stream_event_windows", _stream_event_windows)
 _register("address_neighbours", _address_neighbours)
 _register("balance_series", _balance_series)
 _register("series_ratios", _series_ratios)

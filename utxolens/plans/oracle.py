@@ -512,6 +512,31 @@ PLAIN: dict[str, str] = {
     "transaction_document_sizes": """
         select t.id, coalesce(n_in, 0) as n_inputs, coalesce(n_out, 0) as n_outputs
         from tx t left join shapes s on s.tx_id = t.id""",
+    "nested_transactions": """
+        select t.id as of_tx, t.hash, t.block_id, x.side, x.id, x.tx_id, x.idx, x.address, x.value
+        from tx t join (
+          select spent_in as of_tx, 'inputs' as side, id, tx_id, idx, address, value from spent
+          union all select tx_id, 'outputs', id, tx_id, idx, address, value from tx_out) x
+        on x.of_tx = t.id""",
+    "neighbour_members": """
+        with p as (select distinct s.address as src, o.address as dst
+                   from spent s join tx_out o on o.tx_id = s.spent_in)
+        select src as address, 'outputs' as side, dst as neighbour from p
+        union all select dst, 'inputs', src from p""",
+    "adjacency": """
+        select src as id, dst as neighbour from pairs union select dst, src from pairs""",
+    "stream_event_windows": """
+        with arrived as (
+          select *, date_trunc('day', ts) as day, cast(floor(date_diff('day', date '2024-01-01', cast(ts as date)) / 8) as bigint)
+                 + case when event_id % 13 < 2 then event_id % 13 + 1 else 0 end as batch from events),
+        marks as (
+          select batch, max(max(ts)) over (order by batch rows between unbounded preceding and 1 preceding)
+                 - interval 2 day as mark from arrived group by batch),
+        judged as (
+          select a.*, coalesce(day + interval 1 day <= mark, false) as late from arrived a join marks using (batch))
+        select strftime(day, '%Y-%m-%d') as window_start, event_type, count(*) as events
+        from judged where not late group by all
+        union all select null, event_type, count(*) filter (late) from judged group by event_type""",
     "snapshots": """
         select strftime(e.snapshot_ts, '%Y-%m-%d %H:%M:%S') as snapshot_ts, (select max(b.id) from block b
                                where make_timestamp(b.time) < e.snapshot_ts) as cut_off
@@ -538,6 +563,14 @@ PLAIN: dict[str, str] = {
                      from (select distinct address from tx_out))
         select a.id as src, b.id as dst, n.tx_hash, n.tx_id, n.ada_in as input, n.ada_out as output
         from network n join ids a on a.address = n.src join ids b on b.address = n.dst""",
+    "stream_id_edges": """
+        with ids as (select row_number() over (order by md5(address), address) as id, address
+                     from (select distinct address from tx_out))
+        select a.id as src, b.id as dst, n.tx_hash, n.tx_id, n.ada_in as input, n.ada_out as output
+        from network n join ids a on a.address = n.src join ids b on b.address = n.dst""",
+    "stream_network": """
+        select tx_hash, src as input_addr, dst as output_addr, ada_in as "input_ADA_value",
+               ada_out as "output_ADA_value" from network""",
     "new_address_ids": """
         with known as (select distinct address from tx_out
                        where tx_id <= (select floor(max(id) / 2) from tx))
