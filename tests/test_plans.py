@@ -152,6 +152,7 @@ HOT = {
     "neighbour sets": lambda s: edges.neighbour_sets(s.select("tx_id", "address"), "tx_id", "address").withColumn(
         "neighbours", F.sort_array("neighbours")
     ),
+    "edge weights": lambda s: graph_algorithms.edge_weights(s.select(F.col("tx_id").alias("src"), F.col("id").alias("dst"))),
     "degrees": lambda s: join_back(s.select("tx_id", "id"), s.groupBy("tx_id").count(), "tx_id"),
 }
 

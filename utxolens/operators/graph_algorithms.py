@@ -92,7 +92,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 def edge_weights(edges: DataFrame) -> DataFrame:
     """Edges with weight 1 / out-degree of their source."""
     out = edges.groupBy("src").agg((F.lit(1.0) / F.count("*")).alias("weight"))
-    return edges.select("src", "dst").join(out, "src")
+    return join_back(edges.select("src", "dst"), out, "src")
 
 
 def _vertices(edges: DataFrame) -> DataFrame:
@@ -107,7 +107,6 @@ def _rank_step(
     ranks: DataFrame, weights: DataFrame, base: DataFrame, reset: float, keys: list[str]
 ) -> DataFrame:
     """One round: rank from the sources of a vertex, plus its own reset mass.
-
     ``base`` has the reset mass. It is a stored table, so that a chain of rounds
     refers to the round before it only once.
     """
