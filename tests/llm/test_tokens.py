@@ -151,14 +151,14 @@ def test_words_of_latin_letters_and_full_caches():
     path = PATH
     library = Tokenizer.from_file(path)
     encoder = WordEncoder(path)
-    encoder._words._limit = encoder._chunks._limit = 7
+    encoder._chunks._limit = 7
     rng = random.Random(8)
     letters = "abcXYZÀÉßÿØøþÐæçñ.,;!?'`-_9 \n<|>§ªºµ´́"
     for _ in range(3000):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
-        assert len(encoder._words) <= 7 and len(encoder._words._older) <= 7
+        assert len(encoder._chunks) <= 7 and len(encoder._chunks._older) <= 7
 
 
 def test_frequent_keys_outlive_a_full_cache():

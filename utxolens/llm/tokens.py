@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from utxolens.llm.caches import TwoGenerations
 
-WORDS_KEPT = 300_000
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 300_000
 
 # Latin letters without marks of their own, then ASCII signs other than the apostrophe.
 # Such a chunk is two pre-tokens at most, and lower-casing maps each letter to one letter.
@@ -34,10 +33,10 @@ class WordEncoder:
 
     For a tokenizer that drops white space and never looks across it: the ids of a
     text are those of its space-separated chunks, one after the other. Most chunks
-    repeat, so the library is asked once per lower-cased word and the answers are
-    kept, up to a fixed number; what is asked for again stays. A word of Latin letters is
-    one pre-token, so the vocabulary is asked for its bytes directly. A chunk that is not
-    a plain word with signs behind it goes through the whole tokenizer.
+    repeat, so the library is asked once per lower-cased word, as a chunk of its own, and
+    the answers are kept, up to a fixed number; what is asked for again stays. A word of
+    Latin letters is one pre-token, so the vocabulary is asked for its bytes directly. A
+    chunk that is not a plain word with signs behind it goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -46,29 +45,28 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
-        self._words = TwoGenerations(self._word, WORDS_KEPT)
         self._chunks = TwoGenerations(self._chunk, CHUNKS_KEPT)
 
     def _whole(self, text: str) -> bytes:
         return pack_ids(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, text: str) -> bytes:
-        """Ids of a lower-cased word of Latin letters, or of signs."""
-        if not text.isalpha():
-            return self._whole(text)
+        """Ids of a lower-cased word of Latin letters."""
         if not text.isascii():
             text = text.encode().decode("latin-1").translate(self._letters)
         return pack_ids([token.id for token in self._model.tokenize(text)])
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            return self._words[chunk.lower()]
+        if chunk.isascii() and chunk.islower() and chunk.isalpha():
+            return self._word(chunk)
         plain = _PLAIN.fullmatch(chunk)
-        if plain is None:
+        if plain is None or not plain[1]:
             return self._whole(chunk)
         letters, signs = plain.groups()
-        found = self._words[letters.lower()] if letters else b""
-        return found + self._words[signs] if signs else found
+        word = letters.lower()
+        if signs:
+            return self._chunks[word] + self._chunks[signs]
+        return self._word(word) if word == chunk else self._chunks[word]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
