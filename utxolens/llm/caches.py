@@ -18,6 +18,10 @@ class TwoGenerations(dict):
         self._make, self._limit, self._longest = make, limit, longest
         self._older: dict = {}
 
+    def forget(self) -> None:
+        self.clear()
+        self._older = {}
+
     def __missing__(self, key):
         found = self._older.get(key)
         if found is None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utxolens.llm.tokens import batches_of, encoder, texts
+from utxolens.llm.tokens import batches_of, encoding, texts
 
 CAPACITY = 2048
 END_ID = 1
@@ -99,22 +99,23 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        def cut_one(doc_id: int | None, ids: bytes):
+            total = len(ids) // 4
+            for start in range(0, total, capacity):
+                part = ids[4 * start : 4 * (start + capacity)]
+                yield {
+                    "doc_id": doc_id,
+                    "start": start,
+                    "length": len(part) // 4,
+                    "doc_tokens": total,
+                    "ids": part,
+                }
 
         def rows():
-            for batch in batches:
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                    ids = encode(text.as_py()) + end
-                    total = len(ids) // 4
-                    for start in range(0, total, capacity):
-                        part = ids[4 * start : 4 * (start + capacity)]
-                        yield {
-                            "doc_id": doc_id,
-                            "start": start,
-                            "length": len(part) // 4,
-                            "doc_tokens": total,
-                            "ids": part,
-                        }
+            with encoding(tokenizer) as encode:
+                for batch in batches:
+                    for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                        yield from cut_one(doc_id, encode(text.as_py()) + end)
 
         return batches_of(rows(), PIECES, "ids")
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from utxolens.llm.tokens import batches_of, encoder, texts
+from utxolens.llm.tokens import batches_of, encoding, texts
 from utxolens.sources.storage import WorkTables
 
 END_ID = 2
@@ -175,20 +175,21 @@ def write_token_files(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId()
 
         def rows():
             number = before = size = 0
             doc_ids, parts = [], []
-            for batch in batches:
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                    doc_ids.append(doc_id)
-                    parts.append(to_ids(text.as_py()) + end)
-                    size += len(parts[-1]) // 4
-                    if size >= SEGMENT_IDS:
-                        yield segment(number, before, doc_ids, parts, size)
-                        number, before, size = number + 1, before + size, 0
-                        doc_ids, parts = [], []
+            with encoding(tokenizer) as to_ids:
+                for batch in batches:
+                    for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                        doc_ids.append(doc_id)
+                        parts.append(to_ids(text.as_py()) + end)
+                        size += len(parts[-1]) // 4
+                        if size >= SEGMENT_IDS:
+                            yield segment(number, before, doc_ids, parts, size)
+                            number, before, size = number + 1, before + size, 0
+                            doc_ids, parts = [], []
             if parts:
                 yield segment(number, before, doc_ids, parts, size)
 

@@ -6,6 +6,8 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +42,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer = _tokenizer(path)
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
         self._chunks = TwoGenerations(self._chunk, CHUNKS_KEPT)
@@ -74,6 +74,11 @@ class WordEncoder:
         return b"".join(map(self._chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+    def forget(self) -> None:
+        """Give up everything kept."""
+        self._chunks.forget()
+
+
 def pack_ids(ids: list[int]) -> bytes:
     packed = array("I", ids)
     if sys.byteorder == "big":
@@ -81,14 +86,23 @@ def pack_ids(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+@cache
+def _tokenizer(path: str):
+    """The tokenizer of this worker process."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
-def encoder(path: str) -> WordEncoder:
-    """The encoder of this worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+@contextmanager
+def encoding(path: str):
+    """The ``encode`` function of an encoder whose kept ids go with the task that uses it,
+    so that an idle worker doesn't hold them. A task finds nearly all of them itself."""
+    encoder = WordEncoder(path)
+    try:
+        yield encoder.encode
+    finally:
+        encoder.forget()
 
 
 def batches_of(rows: Iterator[dict], schema: pa.Schema, nbytes: str, limit: int = 8 << 20):
