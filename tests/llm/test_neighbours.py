@@ -61,15 +61,41 @@ def test_ties_go_to_the_smaller_id(spark, monkeypatch):
 def test_few_and_unusable_vectors(spark):
     rows = [
         (0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.9, 0.1]), (3, [0.9, 0.1]), (40, None), (60, [0.0, 0.0]),
-        (80, [1.0, None]), (100, [float("nan"), 1.0]), (120, [float("inf"), 1.0]), (140, [1.0, 2.0, 3.0]),
-        (None, [1.0, 1.0]), (160, []),
+        (80, [1.0, None]), (100, [float("nan"), 1.0]), (120, [float("inf"), 1.0]), (None, [1.0, 1.0]), (160, []),
     ]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as list", "2 as score")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr(
+        "*", "1 as list", "2 as score", "3 as row"
+    )
     got = sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(df).collect())
-    assert got == [(0, 1, 3), (0, 2, 20), (20, 1, 0), (20, 2, 3)]
+    assert got == [(0, 1, 3), (0, 2, 3), (0, 3, 20), (20, 1, 0), (20, 2, 3), (20, 3, 3)]
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_and_vectors_of_other_lengths(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 2.0]), (7, [3.0, 1.0]), (9, [0.25]), (11, [1.0, 1.0, 8.0]), (60, [0.5, 0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.nearest(df).collect())
+    assert got == sorted([
+        (20, 1, 7, 3.0), (20, 2, 11, 1.0), (20, 3, 60, 0.5), (20, 4, 9, 0.25), (20, 5, 20, 0.0),
+        (20, 1, 7, 2.0), (20, 2, 11, 2.0), (20, 3, 9, 0.0), (20, 4, 20, 0.0), (20, 5, 60, 0.0),
+        (60, 1, 11, 16.5), (60, 2, 7, 1.5), (60, 3, 20, 0.5), (60, 4, 9, 0.125), (60, 5, 20, 0.0),
+    ])
+
+
+def test_clustered_vectors_are_found_in_few_lists(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(20_000, 24)) + 4 * rng.normal(size=(150, 24))[rng.integers(0, 150, 20_000)]
+    vectors /= np.sqrt((vectors**2).sum(axis=1))[:, None]
+    vectors = vectors.astype(np.float32).astype(np.float64)
+    ids = np.arange(20_000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    figures = neighbours.search_lists(df).figures()
+    assert figures["scored"] <= 0.1 and figures["copies"] <= 1.5, figures
+    found = run(spark, ids, vectors)
+    hits = sum(len({i for i, _ in found[q]} & {i for i, _ in exact(ids, vectors, q, 20)}) for q in range(0, 20_000, 20))
+    assert hits >= 0.9 * 20 * 1000
+
+
 def test_the_graph_finds_the_nearest_centroids():
     rng = np.random.default_rng(1)
     graph = neighbours.CentroidGraph.over(rng.normal(size=(200, 12)))

@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by inner product, over balanced posting lists.
 
 Centroids are fitted on a bounded sample so that lists have like sizes; every vector is
-put into its nearest list and, near a boundary, into others as well. A small graph over
-the centroids leads a vector or a query to its lists. A query takes the lists whose
-distance is within a ratio of the nearest one's. Candidates get exact scores.
+put into its nearest list and, near a boundary, into others that lie in other directions.
+A small graph over the centroids leads a vector or a query to its lists. A query takes the
+lists whose distance is within a ratio of the nearest one's. The ratio is measured on the
+sample: it is the one that leads to nearly all of the sample's own neighbours, so clustered
+vectors are found in few lists and vectors without clusters in many. Candidates get exact
+scores.
 
 Inner product becomes distance by one more component that gives all vectors the same
-length, and queries none of it.
+length, and queries none of it. Rows are told apart by a number of their own, since a
+vec_id may stand in several.
 """
 
 from __future__ import annotations
@@ -17,24 +21,32 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from utxolens.llm.decontaminate import small
 from utxolens.sources.storage import WorkTables
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
-SAMPLE_ROWS = 20_000  # about so many vectors fit the centroids
+SAMPLE_ROWS = 40_000  # about so many vectors, at most, fit the centroids and the ratio
+SAMPLE_BYTES = 64 << 20
 LIST_ROWS = 256  # vectors for each centroid
-MOST_LISTS = 512
+MOST_LISTS = 4_096  # longer lists beyond a million vectors
+SAMPLE_PER_LIST = 8
 ROUNDS = 12
 DEGREE = 16
 REPLICAS = 4
 REPLICA_RATIO = 1.08
-PROBE_RATIO = 1.1
-LEAST_CANDIDATES = 50  # for each neighbour asked for, whatever the ratio says
+TARGET = 0.97  # share of the sample's neighbours that the ratio leads to
+TRIALS = 400  # vectors of the sample asked for that
+LEAST_CANDIDATES = 10  # for each neighbour asked for, whatever the ratio says
 CHUNK_ROWS = 4_096
+BLOCK = 1 << 22  # distances held at a time on the driver
+
+
+def _blocks(rows: int, width: int) -> list[slice]:
+    step = max(1, BLOCK // max(1, width))
+    return [slice(start, start + step) for start in range(0, rows, step)]
 
 
 @dataclass
@@ -47,9 +59,15 @@ class CentroidGraph:
     @classmethod
     def over(cls, centroids: np.ndarray) -> "CentroidGraph":
         count = len(centroids)
-        distances = ((centroids[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
-        np.fill_diagonal(distances, np.inf)
-        nearest = np.argsort(distances, axis=1)[:, : min(DEGREE, max(1, count - 1))]
+        degree = min(DEGREE, max(1, count - 1))
+        norms, nearest = (centroids**2).sum(axis=1), np.zeros((count, degree), int)
+        for part in _blocks(count, count):
+            distances = norms - 2 * centroids[part] @ centroids.T
+            rows = np.arange(len(distances))
+            distances[rows, rows + part.start] = np.inf
+            closest = np.argpartition(distances, degree - 1, axis=1)[:, :degree]
+            order = np.argsort(distances[rows[:, None], closest], axis=1, kind="stable")
+            nearest[part] = closest[rows[:, None], order]
         ring = (np.arange(count) + 1) % count  # no part is out of reach
         return cls(centroids, np.column_stack([nearest, ring]))
 
@@ -87,33 +105,76 @@ class CentroidGraph:
     def lists_of(self, vector: np.ndarray) -> list[int]:
         """The nearest list, and others across a near boundary.
 
-        A list is across a near boundary if its centroid is about as near.
+        A list is across a near boundary if its centroid is about as near, and nearer to
+        the vector than to each centroid already taken: lists side by side in the same
+        direction would be probed by the same queries.
         """
-        found = self.search(vector, 2 * REPLICAS)[:REPLICAS]
-        return [c for distance, c in found if distance <= REPLICA_RATIO * found[0][0]]
-
-    def probes(self, vector: np.ndarray, sizes: np.ndarray, least: int) -> list[int]:
-        """Lists within the ratio of the nearest; more while they hold too few vectors."""
-        count = len(self.centroids)
-        width = min(count, max(32, 2 * count // 3))
-        found = self.search(vector, width)
-        if sizes[[c for _, c in found]].sum() < least:
-            found = self.search(vector, count)
-        taken, held = [], 0
-        for distance, c in found:
-            if distance > PROBE_RATIO * found[0][0] and held >= least:
+        found = self.search(vector, 4 * REPLICAS)
+        taken = [found[0][1]]
+        for distance, c in found[1:]:
+            if distance > REPLICA_RATIO * found[0][0] or len(taken) == REPLICAS:
                 break
-            taken.append(c)
-            held += int(sizes[c])
+            apart = ((self.centroids[taken] - self.centroids[c]) ** 2).sum(axis=1)
+            if (apart > distance**2).all():
+                taken.append(c)
         return taken
 
+    def probes(
+        self, vector: np.ndarray, sizes: np.ndarray, least: int, ratio: float
+    ) -> list[int]:
+        """Lists within the ratio of the nearest; more while they hold too few vectors.
+
+        The search is widened until it has passed the last list wanted.
+        """
+        count, width = len(self.centroids), 32
+        while True:
+            found = self.search(vector, min(count, width))
+            taken, held = [], 0
+            for distance, c in found:
+                if distance > ratio * found[0][0] and held >= least:
+                    return taken
+                taken.append(c)
+                held += int(sizes[c])
+            if width >= count:
+                return taken
+            width *= 4
+
+
+def probe_ratio(
+    graph: CentroidGraph, stored: np.ndarray, asking: np.ndarray, neighbours: int
+) -> float:
+    """The least ratio that leads ``TARGET`` of the sample's neighbours to be probed.
+
+    ``stored`` are vectors of the sample in the space of the centroids, ``asking`` the same
+    rows as queries. Each neighbour of a trial vector asks for the ratio at which the
+    nearest of its lists is probed.
+    """
+    trials = np.unique(np.linspace(0, len(stored) - 1, TRIALS).astype(int))
+    norms = (graph.centroids**2).sum(axis=1)
+    known: dict[int, list[int]] = {}
+    wanted = []
+    for trial in trials.tolist():
+        scores = stored @ asking[trial]
+        scores[trial] = -np.inf
+        count = min(neighbours, len(stored) - 1)
+        if count < 1:
+            return 1.0
+        far = norms - 2 * graph.centroids @ asking[trial] + (asking[trial] ** 2).sum()
+        far = np.sqrt(np.maximum(far, 0))
+        for row in np.argpartition(scores, -count)[-count:].tolist():
+            if row not in known:
+                known[row] = graph.lists_of(stored[row])
+            wanted.append(far[known[row]].min() / max(far.min(), 1e-300))
+    return float(np.quantile(wanted, TARGET)) * (1 + 1e-9)
+
 
 def balanced_centroids(sample: np.ndarray, count: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids of lists of like sizes: nearness is charged with the size of a list.
 
     A charge grows by steps no larger than a list is wide, and centroids of nearly empty
-    lists move into the largest ones, so that a dense cluster is split. The charge is one more coordinate of a centroid, in which vectors are zero, so it
-    also holds for vectors and queries outside the sample.
+    lists move into the largest ones, so that a dense cluster is split. The charge is one
+    more coordinate of a centroid, in which vectors are zero, so it also holds for vectors
+    and queries outside the sample.
     """
     rng = np.random.default_rng(7)
     distinct = np.unique(sample, axis=0)
@@ -123,8 +184,11 @@ def balanced_centroids(sample: np.ndarray, count: int, rounds: int = ROUNDS) ->
     spread = float(((sample - sample.mean(axis=0)) ** 2).sum(axis=1).mean())
     norms, fair = (sample**2).sum(axis=1), len(sample) / count
     for _ in range(rounds):
-        distances = (centroids**2).sum(axis=1) - 2 * sample @ centroids.T + charge
-        owner = distances.argmin(axis=1)
+        cost = (centroids**2).sum(axis=1) + charge
+        owner = np.concatenate([
+            (cost - 2 * sample[part] @ centroids.T).argmin(axis=1)
+            for part in _blocks(len(sample), count)
+        ])
         sizes = np.bincount(owner, minlength=count)
         sums = np.zeros_like(centroids)
         np.add.at(sums, owner, sample)
@@ -144,134 +208,227 @@ def balanced_centroids(sample: np.ndarray, count: int, rounds: int = ROUNDS) ->
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """(vec_id, vector) of vectors that take part: finite, not zero, of the usual length."""
+    """(vec_id, vector) of the rows that take part: vectors that are finite and not zero."""
     vector = F.col("embedding").cast("array<double>")
     plain = table.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
     odd = F.exists(
         "vector",
         lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))),
     )
-    kept = plain.filter(
+    return plain.filter(
         F.col("vec_id").isNotNull()
         & F.col("vector").isNotNull()
         & ~F.coalesce(odd, F.lit(True))
         & F.exists("vector", lambda x: x != 0)
     )
-    usual = (
-        kept.groupBy(F.size("vector").alias("size"))
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), F.desc("size"))
-        .limit(1)
-        .collect()
-    )
-    return kept.filter(F.size("vector") == (usual[0]["size"] if usual else 0))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    rows = len(column)
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
+    """Vectors as rows of ``width``, that of the longest if not given.
+
+    Missing components are zero, components beyond the width are left out.
+    """
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+    values = flat.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(flat.offsets.to_numpy())
+    if len(sizes) and (sizes == sizes[0]).all() and width in (None, int(sizes[0])):
+        return values.reshape(len(sizes), -1)
+    width = int(sizes.max(initial=0)) if width is None else width
+    places = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    matrix = np.zeros((len(sizes), width))
+    matrix[rows[places < width], places[places < width]] = values[places < width]
+    return matrix
 
 
 def _level(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Stored vectors in the space of the centroids: of one length, and not charged."""
     rest = np.sqrt(np.maximum(0.0, longest**2 - (vectors**2).sum(axis=1)))
     return np.column_stack([vectors, rest, np.zeros(len(vectors))])
 
 
-def nearest(
+def _asking(vectors: np.ndarray) -> np.ndarray:
+    """Queries in the space of the centroids."""
+    return np.column_stack([vectors, np.zeros((len(vectors), 2))])
+
+
+def _chunks(counts: np.ndarray) -> Column:
+    """How many chunks the rows of column ``list`` are cut into."""
+    numbers = [max(1, ceil(n / CHUNK_ROWS)) for n in counts.tolist()]
+    return F.get(F.array(*[F.lit(n) for n in numbers]), F.col("list"))
+
+
+def _list_sizes(rows: DataFrame, lists: int) -> np.ndarray:
+    """Rows for each list; at most ``MOST_LISTS`` come to the driver."""
+    counts = np.zeros(lists, int)
+    for row in rows.groupBy("list").agg(F.count("*").alias("n")).collect():
+        counts[row["list"]] = row["n"]
+    return counts
+
+
+@dataclass
+class Search:
+    """Vectors in their lists, and queries at the lists that they probe."""
+
+    posted: DataFrame  # row, vec_id, vector, list
+    probed: DataFrame  # query_row, query_id, query, list
+    rows: int
+    queries: int
+    held: np.ndarray  # vectors in each list
+    asked: np.ndarray  # queries at each list
+
+    def figures(self) -> dict[str, float]:
+        """Copies of a vector, lists, and the share of all rows that a query is scored with."""
+        scored = float((self.held * self.asked).sum())
+        return {
+            "lists": len(self.held),
+            "copies": float(self.held.sum()) / self.rows,
+            "scored": scored / max(1, self.queries) / self.rows,
+        }
+
+
+def search_lists(
     table: DataFrame, neighbours: int = NEIGHBOURS, query_step: int = QUERY_STEP
-) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the nearest vectors found for each query.
+) -> Search | None:
+    """Fit centroids and ratio, and send vectors and queries to their lists.
 
-    Queries are the vectors whose vec_id is a multiple of ``query_step``; all others, and
-    other queries, are candidates. Nearest first, ties to the smaller vec_id; a query
-    gets all candidates if there are fewer than ``neighbours``. Vectors that are null,
-    zero, of unusual length, or hold a null or non-finite component take no part, nor do
-    rows without vec_id. Repeated rows of one vec_id and vector count once.
+    None if no vector takes part.
     """
-    spark = table.sparkSession
-    work = WorkTables(spark, "neighbours")
-    vectors = work.write(usable(table).dropDuplicates(["vec_id", "vector"]), "vectors")
-    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
-    rows, longest = vectors.agg(F.count("*"), F.max(square)).first()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not rows:
-        return spark.createDataFrame([], out)
+    work = WorkTables(table.sparkSession, "neighbours")
+    # numbers are written with the rows, so that they stay the same for every later reader
+    numbered = usable(table).withColumn("row", F.monotonically_increasing_id())
+    vectors = work.write(numbered, "vectors")
+    # one row for each length that occurs; the longest of the most frequent guides the search
+    usual = (
+        vectors.groupBy(F.size("vector").alias("size"))
+        .agg(F.count("*").alias("n"))
+        .orderBy(F.desc("n"), F.desc("size"))
+        .first()
+    )
+    if usual is None:
+        return None
+    width = usual["size"]
+    head = F.slice("vector", 1, width)
+    square = F.aggregate(head, F.lit(0.0), lambda total, x: total + x * x)
+    asks = F.col("vec_id") % query_step == 0
+    rows, queries, longest = vectors.agg(F.count("*"), F.count_if(asks), F.max(square)).first()
     longest = float(np.sqrt(longest))
-    share = min(1.0, SAMPLE_ROWS / rows)
-    chosen = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= int(share * (1 << 20))
-    sample = vectors.filter(chosen).select("vec_id", "vector").toArrow()  # bounded, see SAMPLE_ROWS
-    sample = sample.sort_by("vec_id")["vector"]
-    lists = int(min(MOST_LISTS, max(1, rows // LIST_ROWS)))
-    graph = CentroidGraph.over(balanced_centroids(_level(_matrix(sample), longest)[:, :-1], lists))
-    shared = spark.sparkContext.broadcast((graph.centroids, graph.links))  # MOST_LISTS rows
+    most = min(SAMPLE_ROWS, max(1, SAMPLE_BYTES // (8 * width)))
+    chosen = F.pmod(F.xxhash64("row"), F.lit(1 << 20)) <= int(min(1.0, most / rows) * (1 << 20))
+    # bounded, see SAMPLE_ROWS and SAMPLE_BYTES
+    taken = vectors.filter(chosen).select("row", head.alias("vector")).toArrow()
+    sample = _matrix(taken.sort_by("row")["vector"], width)
+    stored, asking = _level(sample, longest), _asking(sample)
+    lists = max(1, min(MOST_LISTS, rows // LIST_ROWS, len(sample) // SAMPLE_PER_LIST))
+    graph = CentroidGraph.over(balanced_centroids(stored[:, :-1], lists))
+    # of the neighbours sought, the sample holds its share
+    ratio = probe_ratio(graph, stored, asking, max(1, round(neighbours * len(sample) / rows)))
+    # MOST_LISTS rows at most, and an eighth of SAMPLE_BYTES
+    shared = table.sparkSession.sparkContext.broadcast((graph.centroids, graph.links))
 
     def post(batches):
         own = CentroidGraph(*shared.value)
         for batch in batches:
-            level = _level(_matrix(batch["vector"]), longest) if batch.num_rows else []
-            found = [own.lists_of(vector) for vector in level]
-            yield pa.RecordBatch.from_arrays(
-                [batch["vec_id"], batch["vector"], pa.array(found, pa.list_(pa.int32()))],
-                names=["vec_id", "vector", "lists"],
-            )
-
-    posted = vectors.repartition("vec_id").mapInArrow(
-        post, "vec_id long, vector array<double>, lists array<int>"
+            level = _level(_matrix(batch["vector"], width), longest)
+            found = pa.array([own.lists_of(v) for v in level], pa.list_(pa.int32()))
+            columns = [batch["row"], batch["vec_id"], batch["vector"], found]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "vec_id", "vector", "lists"])
+
+    fields = "row long, vec_id long, vector array<double>, lists array<int>"
+    posted = vectors.select("row", "vec_id", "vector").repartition("row").mapInArrow(post, fields)
+    posted = work.write(
+        posted.select("row", "vec_id", "vector", F.explode("lists").alias("list")), "posted"
     )
-    posted = work.write(posted.select("vec_id", "vector", F.explode("lists").alias("list")), "posted")
-    # one row per list, MOST_LISTS at most
-    sizes = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    counts = np.array([sizes.get(c, 0) for c in range(len(graph.centroids))])
+    held = _list_sizes(posted, len(graph.centroids))
     least = LEAST_CANDIDATES * neighbours
 
     def probe(batches):
         own = CentroidGraph(*shared.value)
         for batch in batches:
-            level = _matrix(batch["vector"]) if batch.num_rows else np.zeros((0, 1))
-            level = np.column_stack([level, np.zeros((len(level), 2))])
-            found = [own.probes(vector, counts, least) for vector in level]
-            yield pa.RecordBatch.from_arrays(
-                [batch["vec_id"], batch["vector"], pa.array(found, pa.list_(pa.int32()))],
-                names=["query_id", "vector", "lists"],
-            )
-
-    queries = vectors.filter(F.col("vec_id") % query_step == 0).repartition("vec_id")
-    probed = queries.mapInArrow(
-        probe, "query_id long, vector array<double>, lists array<int>"
-    ).select("query_id", F.col("vector").alias("query"), F.explode("lists").alias("list"))
-    # a long list is cut into chunks, each of which all its queries visit
-    chunks = [max(1, ceil(n / CHUNK_ROWS)) for n in counts.tolist()]
-    chunk_count = F.get(F.array(*[F.lit(n) for n in chunks]), F.col("list"))
-    stored = posted.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunk_count).cast("int"))
-    asked = probed.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunk_count - 1)))
+            level = _asking(_matrix(batch["vector"], width))
+            found = [own.probes(v, held, least, ratio) for v in level]
+            columns = [
+                batch["row"], batch["vec_id"], batch["vector"], pa.array(found, pa.list_(pa.int32()))
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "vec_id", "vector", "lists"])
+
+    probed = vectors.filter(asks).select("row", "vec_id", "vector").repartition("row")
+    probed = work.write(
+        probed.mapInArrow(probe, fields).select(
+            F.col("row").alias("query_row"),
+            F.col("vec_id").alias("query_id"),
+            F.col("vector").alias("query"),
+            F.explode("lists").alias("list"),
+        ),
+        "probed",
+    )
+    asked = _list_sizes(probed, len(graph.centroids))
+    return Search(posted, probed, rows, queries, held, asked)
+
+
+def nearest(
+    table: DataFrame, neighbours: int = NEIGHBOURS, query_step: int = QUERY_STEP
+) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the nearest vectors found for each query.
+
+    Queries are the rows whose vec_id is a multiple of ``query_step``; candidates are all
+    other rows. Nearest first, ties to the smaller vec_id; a query gets all candidates if
+    there are fewer than ``neighbours``. Vectors that are null, empty, zero, or hold a null
+    or non-finite component take no part, nor do rows without vec_id. Rows count one by one:
+    repeated rows, or rows that share a vec_id, are candidates of each other, and each query
+    among them has a list of its own. Components that the shorter of two vectors lacks are
+    zero.
+    """
+    search = search_lists(table, neighbours, query_step)
+    if search is None:
+        return table.sparkSession.createDataFrame(
+            [], "query_id long, rank int, vec_id long, score double"
+        )
+    # both sides of a long list are cut into chunks, and each chunk meets each other
+    held, asked = _chunks(search.held), _chunks(search.asked)
+    stored = search.posted.select(
+        "*",
+        F.pmod(F.xxhash64("row"), held).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), asked - 1)).alias("part"),
+    )
+    asking = search.probed.select(
+        "*",
+        F.pmod(F.xxhash64("query_row"), asked).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), held - 1)).alias("chunk"),
+    )
 
     def score(key: tuple, held: pa.Table, asking: pa.Table) -> pa.Table:
-        found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        found: dict[str, list] = {"query_row": [], "query_id": [], "row": [], "vec_id": [], "score": []}
         if held.num_rows and asking.num_rows:
-            ids, vectors_ = held["vec_id"].to_numpy(), _matrix(held["vector"])
-            for query_id, query in zip(asking["query_id"].to_pylist(), _matrix(asking["query"])):
-                scores = (vectors_ * query).sum(axis=1)
-                keep = np.flatnonzero(ids != query_id)
+            rows, ids = held["row"].to_numpy(), held["vec_id"].to_numpy()
+            vectors, questions = _matrix(held["vector"]), _matrix(asking["query"])
+            width = min(vectors.shape[1], questions.shape[1])
+            vectors, questions = vectors[:, :width], questions[:, :width]
+            names = zip(asking["query_row"].to_pylist(), asking["query_id"].to_pylist())
+            for (query_row, query_id), query in zip(names, questions):
+                scores = (vectors * query).sum(axis=1)
+                keep = np.flatnonzero(rows != query_row)
                 if len(keep) > neighbours:
                     least_kept = np.partition(scores[keep], -neighbours)[-neighbours]
                     keep = keep[scores[keep] >= least_kept]
                 keep = keep[np.lexsort((ids[keep], -scores[keep]))][:neighbours]
+                found["query_row"] += [query_row] * len(keep)
                 found["query_id"] += [query_id] * len(keep)
+                found["row"] += rows[keep].tolist()
                 found["vec_id"] += ids[keep].tolist()
                 found["score"] += scores[keep].tolist()
         kinds = {"score": pa.float64()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in found.items()})
 
     scored = (
-        stored.groupBy("list", "chunk")
-        .cogroup(asked.groupBy("list", "chunk"))
-        .applyInArrow(score, "query_id long, vec_id long, score double")
+        stored.groupBy("list", "chunk", "part")
+        .cogroup(asking.groupBy("list", "chunk", "part"))
+        .applyInArrow(score, "query_row long, query_id long, row long, vec_id long, score double")
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     # a vector found in several lists has the same score in each
     return (
-        scored.groupBy("query_id", "vec_id")
+        scored.groupBy("query_row", "query_id", "row", "vec_id")
         .agg(F.max("score").alias("score"))
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= neighbours)
