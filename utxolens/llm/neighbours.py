@@ -37,7 +37,8 @@ ROUNDS = 12
 DEGREE = 16
 REPLICAS = 4
 REPLICA_RATIO = 1.08
-TARGET = 0.97  # share of the sample's neighbours that the ratio leads to
+PLACE_WIDTH = 64  # centroids held while a vector's lists are sought
+TARGET = 0.95  # share of the sample's neighbours that the ratio leads to
 TRIALS = 400  # vectors of the sample asked for that
 LEAST_CANDIDATES = 10  # for each neighbour asked for, whatever the ratio says
 CHUNK_ROWS = 4_096
@@ -49,6 +50,18 @@ def _blocks(rows: int, width: int) -> list[slice]:
     return [slice(start, start + step) for start in range(0, rows, step)]
 
 
+@dataclass
+class Reach:
+    """How far a query looks: a ratio of the distance of its nearest list.
+
+    A list of mere copies is nearer than any other by a factor that says nothing of the
+    rest, so no list counts as nearer than the nearest usually is.
+    """
+
+    ratio: float
+    usual: float
+
+
 @dataclass
 class CentroidGraph:
     """Centroids with links to the nearest others, and one to the next in line."""
@@ -109,7 +122,7 @@ class CentroidGraph:
         the vector than to each centroid already taken: lists side by side in the same
         direction would be probed by the same queries.
         """
-        found = self.search(vector, 4 * REPLICAS)
+        found = self.search(vector, PLACE_WIDTH)
         taken = [found[0][1]]
         for distance, c in found[1:]:
             if distance > REPLICA_RATIO * found[0][0] or len(taken) == REPLICAS:
@@ -120,7 +133,7 @@ class CentroidGraph:
         return taken
 
     def probes(
-        self, vector: np.ndarray, sizes: np.ndarray, least: int, ratio: float
+        self, vector: np.ndarray, sizes: np.ndarray, least: int, reach: Reach
     ) -> list[int]:
         """Lists within the ratio of the nearest; more while they hold too few vectors.
 
@@ -131,7 +144,7 @@ class CentroidGraph:
             found = self.search(vector, min(count, width))
             taken, held = [], 0
             for distance, c in found:
-                if distance > ratio * found[0][0] and held >= least:
+                if distance > reach.ratio * max(found[0][0], reach.usual) and held >= least:
                     return taken
                 taken.append(c)
                 held += int(sizes[c])
@@ -140,9 +153,9 @@ class CentroidGraph:
             width *= 4
 
 
-def probe_ratio(
+def probe_reach(
     graph: CentroidGraph, stored: np.ndarray, asking: np.ndarray, neighbours: int
-) -> float:
+) -> Reach:
     """The least ratio that leads ``TARGET`` of the sample's neighbours to be probed.
 
     ``stored`` are vectors of the sample in the space of the centroids, ``asking`` the same
@@ -150,22 +163,22 @@ def probe_ratio(
     nearest of its lists is probed.
     """
     trials = np.unique(np.linspace(0, len(stored) - 1, TRIALS).astype(int))
+    count = min(neighbours, len(stored) - 1)
     norms = (graph.centroids**2).sum(axis=1)
+    own = (asking[trials] ** 2).sum(axis=1)[:, None]
+    far = np.sqrt(np.maximum(norms - 2 * asking[trials] @ graph.centroids.T + own, 0))
+    nearest = far.min(axis=1)
+    usual = max(float(np.median(nearest)), 1e-300)
     known: dict[int, list[int]] = {}
-    wanted = []
-    for trial in trials.tolist():
+    wanted = [1.0]
+    for trial, away, base in zip(trials.tolist(), far, nearest):
         scores = stored @ asking[trial]
         scores[trial] = -np.inf
-        count = min(neighbours, len(stored) - 1)
-        if count < 1:
-            return 1.0
-        far = norms - 2 * graph.centroids @ asking[trial] + (asking[trial] ** 2).sum()
-        far = np.sqrt(np.maximum(far, 0))
-        for row in np.argpartition(scores, -count)[-count:].tolist():
+        for row in np.argpartition(scores, -count)[-count:].tolist() if count else []:
             if row not in known:
                 known[row] = graph.lists_of(stored[row])
-            wanted.append(far[known[row]].min() / max(far.min(), 1e-300))
-    return float(np.quantile(wanted, TARGET)) * (1 + 1e-9)
+            wanted.append(away[known[row]].min() / max(base, usual))
+    return Reach(float(np.quantile(wanted, TARGET)) * (1 + 1e-9), usual)
 
 
 def balanced_centroids(sample: np.ndarray, count: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -322,7 +335,7 @@ def search_lists(
     lists = max(1, min(MOST_LISTS, rows // LIST_ROWS, len(sample) // SAMPLE_PER_LIST))
     graph = CentroidGraph.over(balanced_centroids(stored[:, :-1], lists))
     # of the neighbours sought, the sample holds its share
-    ratio = probe_ratio(graph, stored, asking, max(1, round(neighbours * len(sample) / rows)))
+    reach = probe_reach(graph, stored, asking, max(1, round(neighbours * len(sample) / rows)))
     # MOST_LISTS rows at most, and an eighth of SAMPLE_BYTES
     shared = table.sparkSession.sparkContext.broadcast((graph.centroids, graph.links))
 
@@ -346,7 +359,7 @@ def search_lists(
         own = CentroidGraph(*shared.value)
         for batch in batches:
             level = _asking(_matrix(batch["vector"], width))
-            found = [own.probes(v, held, least, ratio) for v in level]
+            found = [own.probes(v, held, least, reach) for v in level]
             columns = [
                 batch["row"], batch["vec_id"], batch["vector"], pa.array(found, pa.list_(pa.int32()))
             ]
