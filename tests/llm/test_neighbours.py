@@ -47,7 +47,7 @@ def test_recall_and_scores(spark, monkeypatch, lengths):
 
 
 def test_ties_go_to_the_smaller_id(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(neighbours, "CHUNK_BYTES", 50 * 8 * 8)
     rng = np.random.default_rng(2)
     vectors = np.ones((900, 8))
     vectors[:300] = rng.normal(size=(300, 8)) / 9
@@ -64,7 +64,7 @@ def test_few_and_unusable_vectors(spark):
         (80, [1.0, None]), (100, [float("nan"), 1.0]), (120, [float("inf"), 1.0]), (None, [1.0, 1.0]), (160, []),
     ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr(
-        "*", "1 as list", "2 as score", "3 as row"
+        "*", "1 as list", "2 as score", "3 as row", "4 as block"
     )
     got = sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(df).collect())
     assert got == [(0, 1, 3), (0, 2, 3), (0, 3, 20), (20, 1, 0), (20, 2, 3), (20, 3, 3)]

@@ -40,8 +40,9 @@ REPLICA_RATIO = 1.08
 PLACE_WIDTH = 64  # centroids held while a vector's lists are sought
 TARGET = 0.95  # share of the sample's neighbours that the ratio leads to
 TRIALS = 400  # vectors of the sample asked for that
+QUERY_PARTS = 16  # a chunk of queries is so much smaller than one of vectors
 LEAST_CANDIDATES = 10  # for each neighbour asked for, whatever the ratio says
-CHUNK_ROWS = 4_096
+CHUNK_BYTES = 8 << 20  # of vectors that meet queries in one group
 BLOCK = 1 << 22  # distances held at a time on the driver
 
 
@@ -265,38 +266,55 @@ def _asking(vectors: np.ndarray) -> np.ndarray:
     return np.column_stack([vectors, np.zeros((len(vectors), 2))])
 
 
-def _chunks(counts: np.ndarray) -> Column:
-    """How many chunks the rows of column ``list`` are cut into."""
-    numbers = [max(1, ceil(n / CHUNK_ROWS)) for n in counts.tolist()]
-    return F.get(F.array(*[F.lit(n) for n in numbers]), F.col("list"))
+def _chunks(counts: np.ndarray, most: int) -> Column:
+    """How many chunks of ``most`` rows the rows of column ``block`` are cut into."""
+    numbers = [max(1, ceil(n / most)) for n in counts.tolist()]
+    return F.get(F.array(*[F.lit(n) for n in numbers]), F.col("block"))
 
 
-def _list_sizes(rows: DataFrame, lists: int) -> np.ndarray:
-    """Rows for each list; at most ``MOST_LISTS`` come to the driver."""
-    counts = np.zeros(lists, int)
-    for row in rows.groupBy("list").agg(F.count("*").alias("n")).collect():
-        counts[row["list"]] = row["n"]
+def _sizes(rows: DataFrame, column: str, size: int) -> np.ndarray:
+    """Rows for each list or block; at most ``MOST_LISTS`` counts come to the driver."""
+    counts = np.zeros(size, int)
+    for row in rows.groupBy(column).agg(F.count("*").alias("n")).collect():
+        counts[row[column]] = row["n"]
     return counts
 
 
+def blocks_of(centroids: np.ndarray, held: np.ndarray, most: int) -> np.ndarray:
+    """The block of each list: lists near each other, of about ``most`` vectors in all.
+
+    Centroids are grouped by centroids of their own. A query meets a block once, and its
+    best there are found before anything is shuffled.
+    """
+    wanted = ceil(1.5 * held.sum() / most)
+    plain = centroids[:, :-1]
+    over = balanced_centroids(plain, wanted)
+    norms = (over**2).sum(axis=1)
+    return np.concatenate([
+        (norms - 2 * plain[part] @ over[:, :-1].T).argmin(axis=1)
+        for part in _blocks(len(plain), len(over))
+    ])
+
+
 @dataclass
 class Search:
     """Vectors in their lists, and queries at the lists that they probe."""
 
     posted: DataFrame  # row, vec_id, vector, list
-    probed: DataFrame  # query_row, query_id, query, list
+    probed: DataFrame  # query_row, query_id, query, block, lists
     rows: int
     queries: int
     held: np.ndarray  # vectors in each list
-    asked: np.ndarray  # queries at each list
+    block: np.ndarray  # of each list
+    chunk_rows: int
 
     def figures(self) -> dict[str, float]:
         """Copies of a vector, lists, and the share of all rows that a query is scored with."""
-        scored = float((self.held * self.asked).sum())
+        asked = _sizes(self.probed.select(F.explode("lists").alias("list")), "list", len(self.held))
         return {
             "lists": len(self.held),
             "copies": float(self.held.sum()) / self.rows,
-            "scored": scored / max(1, self.queries) / self.rows,
+            "scored": float((self.held * asked).sum()) / max(1, self.queries) / self.rows,
         }
 
 
@@ -352,31 +370,36 @@ def search_lists(
     posted = work.write(
         posted.select("row", "vec_id", "vector", F.explode("lists").alias("list")), "posted"
     )
-    held = _list_sizes(posted, len(graph.centroids))
+    held = _sizes(posted, "list", len(graph.centroids))
+    chunk_rows = max(1, CHUNK_BYTES // (8 * width))
+    block = blocks_of(graph.centroids, held, chunk_rows)
     least = LEAST_CANDIDATES * neighbours
 
     def probe(batches):
         own = CentroidGraph(*shared.value)
         for batch in batches:
-            level = _asking(_matrix(batch["vector"], width))
-            found = [own.probes(v, held, least, reach) for v in level]
-            columns = [
-                batch["row"], batch["vec_id"], batch["vector"], pa.array(found, pa.list_(pa.int32()))
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "vec_id", "vector", "lists"])
-
+            visits = []
+            for vector in _asking(_matrix(batch["vector"], width)):
+                at: dict[int, list[int]] = {}
+                for c in own.probes(vector, held, least, reach):
+                    at.setdefault(int(block[c]), []).append(c)
+                visits.append([{"block": k, "lists": v} for k, v in at.items()])
+            kind = pa.list_(pa.struct([("block", pa.int32()), ("lists", pa.list_(pa.int32()))]))
+            columns = [batch["row"], batch["vec_id"], batch["vector"], pa.array(visits, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "vec_id", "vector", "visits"])
+
+    visits = "visits array<struct<block:int,lists:array<int>>>"
     probed = vectors.filter(asks).select("row", "vec_id", "vector").repartition("row")
     probed = work.write(
-        probed.mapInArrow(probe, fields).select(
+        probed.mapInArrow(probe, f"row long, vec_id long, vector array<double>, {visits}").select(
             F.col("row").alias("query_row"),
             F.col("vec_id").alias("query_id"),
             F.col("vector").alias("query"),
-            F.explode("lists").alias("list"),
+            F.inline("visits"),
         ),
         "probed",
     )
-    asked = _list_sizes(probed, len(graph.centroids))
-    return Search(posted, probed, rows, queries, held, asked)
+    return Search(posted, probed, rows, queries, held, block, chunk_rows)
 
 
 def nearest(
@@ -397,9 +420,14 @@ def nearest(
         return table.sparkSession.createDataFrame(
             [], "query_id long, rank int, vec_id long, score double"
         )
-    # both sides of a long list are cut into chunks, and each chunk meets each other
-    held, asked = _chunks(search.held), _chunks(search.asked)
-    stored = search.posted.select(
+    # both sides of a long block are cut into chunks, and each chunk meets each other
+    blocks = int(search.block.max()) + 1
+    block = F.get(F.array(*[F.lit(n) for n in search.block.tolist()]), F.col("list"))
+    vectors_in = np.bincount(search.block, search.held, blocks)
+    queries_in = _sizes(search.probed, "block", blocks)
+    held = _chunks(vectors_in, search.chunk_rows)
+    asked = _chunks(queries_in, ceil(search.chunk_rows / QUERY_PARTS))
+    stored = search.posted.withColumn("block", block).select(
         "*",
         F.pmod(F.xxhash64("row"), held).cast("int").alias("chunk"),
         F.explode(F.sequence(F.lit(0), asked - 1)).alias("part"),
@@ -413,29 +441,40 @@ def nearest(
     def score(key: tuple, held: pa.Table, asking: pa.Table) -> pa.Table:
         found: dict[str, list] = {"query_row": [], "query_id": [], "row": [], "vec_id": [], "score": []}
         if held.num_rows and asking.num_rows:
+            held = held.sort_by("list")
+            lists = held["list"].to_numpy()
             rows, ids = held["row"].to_numpy(), held["vec_id"].to_numpy()
             vectors, questions = _matrix(held["vector"]), _matrix(asking["query"])
             width = min(vectors.shape[1], questions.shape[1])
             vectors, questions = vectors[:, :width], questions[:, :width]
-            names = zip(asking["query_row"].to_pylist(), asking["query_id"].to_pylist())
-            for (query_row, query_id), query in zip(names, questions):
-                scores = (vectors * query).sum(axis=1)
-                keep = np.flatnonzero(rows != query_row)
-                if len(keep) > neighbours:
-                    least_kept = np.partition(scores[keep], -neighbours)[-neighbours]
-                    keep = keep[scores[keep] >= least_kept]
-                keep = keep[np.lexsort((ids[keep], -scores[keep]))][:neighbours]
-                found["query_row"] += [query_row] * len(keep)
-                found["query_id"] += [query_id] * len(keep)
-                found["row"] += rows[keep].tolist()
-                found["vec_id"] += ids[keep].tolist()
-                found["score"] += scores[keep].tolist()
+            reach = np.sqrt((vectors**2).sum(axis=1).max())
+            names = zip(*(asking[name].to_pylist() for name in ("query_row", "query_id", "lists")))
+            for (query_row, query_id, probed), query in zip(names, questions):
+                wanted = np.sort(np.array(probed))
+                starts, ends = np.searchsorted(lists, wanted), np.searchsorted(lists, wanted, "right")
+                near = np.concatenate([vectors[a:b] @ query for a, b in zip(starts, ends)])
+                place = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends)])
+                other = rows[place] != query_row
+                near, place = near[other], place[other]
+                most = REPLICAS * neighbours  # a row may stand in so many lists
+                if len(near) > most:
+                    # products differ from the exact sums in their last digits
+                    slack = 1e-9 * reach * np.sqrt((query**2).sum())
+                    place = place[near >= np.partition(near, -most)[-most] - slack]
+                place = place[np.unique(rows[place], return_index=True)[1]]
+                scores = (vectors[place] * query).sum(axis=1)
+                best = np.lexsort((rows[place], ids[place], -scores))[:neighbours]
+                found["query_row"] += [query_row] * len(best)
+                found["query_id"] += [query_id] * len(best)
+                found["row"] += rows[place[best]].tolist()
+                found["vec_id"] += ids[place[best]].tolist()
+                found["score"] += scores[best].tolist()
         kinds = {"score": pa.float64()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in found.items()})
 
     scored = (
-        stored.groupBy("list", "chunk", "part")
-        .cogroup(asking.groupBy("list", "chunk", "part"))
+        stored.groupBy("block", "chunk", "part")
+        .cogroup(asking.groupBy("block", "chunk", "part"))
         .applyInArrow(score, "query_row long, query_id long, row long, vec_id long, score double")
     )
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
