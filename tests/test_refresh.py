@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -111,6 +112,28 @@ def test_snapshot_cut_offs(spark):
     ]
 
 
+@pytest.mark.parametrize("months", [1, 4, 7])
+@pytest.mark.parametrize("first", ["2019-10-31 13:00:00", "2020-02-29 00:00:00", "2020-01-01 00:00:00"])
+def test_snapshot_cut_offs_equal_a_search_of_all_ends(spark, first, months):
+    block = spark.sql(
+        f"select id, unix_micros(timestamp '{first}') + id * 86400000000L + id % 5 * 3600000000L as time from range(900)"
+    )
+    got = entity_state.snapshot_cut_offs(block, months)
+    step, at = f"make_ym_interval(0, {months})", "timestamp_micros(time)"
+    block.createOrReplaceTempView("cut_off_blocks")
+    want = spark.sql(
+        f"with ends as (select explode(sequence(min({at}) + {step}, max({at}) + {step}, {step})) as e from cut_off_blocks) "
+        f"select e, max(id) from ends left join cut_off_blocks on {at} < e group by e"
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_blocks_do_not_carry_all_ends(spark):
+    block = spark.range(10).select("id", (F.col("id") * 10**13).alias("time"))
+    text = entity_state.snapshot_cut_offs(block)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in text
+
+
 def test_snapshot_metrics_are_replaced_not_doubled(spark, tmp_path):
     tx, tx_in, tx_out = random_book(23, transactions=25).tables(spark)
     for cut_off, day in [(3, "2020-05-01"), (6, "2020-09-01"), (6, "2020-09-01")]:
