@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgers import rows, union_find
 from utxolens.operators import graph_algorithms as algorithms
@@ -141,3 +142,20 @@ def test_motif_in_degrees_and_adjacency(spark):
     assert rows(graph_queries.motif_mutual(table)) == [("b", "c"), ("c", "b")]
     assert dict(rows(graph_queries.in_degrees(table))) == {"a": 1, "b": 2, "c": 2, "d": 1, "e": 1, "f": 1}
     assert dict(rows(graph_queries.adjacency_sizes(table)))["e"] == 3
+
+
+def test_rounds_of_components_move_fewer_and_fewer_links(spark, monkeypatch):
+    """All rounds together write a few times the links, on long paths too."""
+    written = []
+    write = algorithms.WorkTables.write
+
+    def counted(self, df, label):
+        table = write(self, df, label)
+        if label == "links":
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(algorithms.WorkTables, "write", counted)
+    chain = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {c for _, c in rows(algorithms.connected_components(chain))} == {0}
+    assert sum(written) <= 3 * 3000
