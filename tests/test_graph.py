@@ -125,6 +125,29 @@ def test_edge_weights(spark):
     assert weights[("a", "b")] == 0.5 and weights[("f", "c")] == 1.0
 
 
+def test_rounds_of_page_rank_move_sources_instead_of_edges(spark, monkeypatch):
+    """No table of the rounds has a row per edge, and a hot source comes in bounded lists."""
+    written = []
+    write = algorithms.WorkTables.write
+
+    def counted(self, df, label):
+        table = write(self, df, label)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(algorithms.WorkTables, "write", counted)
+    pairs = random_edges(9, 40, 500)
+    got = dict(rows(algorithms.pagerank(edge_table(spark, pairs, "bigint"), tol=1e-6)))
+    assert got == pytest.approx(page_rank(pairs, 100), abs=1e-4)
+    assert max(written) <= 40 < len(pairs)
+
+    hot = [(0, n) for n in range(1, 101)] + [(1, 2)]
+    lists = algorithms.target_lists(edge_table(spark, hot, "bigint"), size=20).collect()
+    assert sorted((r.id, n) for r in lists for n in r.targets) == hot
+    assert max(len(r.targets) for r in lists) <= 20
+    assert {(r.id, r.weight) for r in lists} == {(0, 0.01), (1, 1.0)}
+
+
 def test_triangles(spark):
     pairs = random_edges(8, 25, 110)
     links = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
