@@ -180,3 +180,22 @@ def test_join_back_keeps_types_of_join_and_null_keys(spark):
     assert sorted((r.v, r.n) for r in left.collect() if r.n) == [("a", 2), ("b", 2)] and left.count() == 4
     semi = join_back(rows, totals.filter("n > 1"), "k", how="left_semi")
     assert semi.columns == ["k", "v"] and semi.count() == 2
+
+
+GROUPED = ["neighbour sets"]
+
+
+@pytest.mark.parametrize("name", GROUPED)
+def test_rows_that_met_their_totals_are_grouped_where_they_lie(spark, small_partitions, tmp_path, name):
+    found = HOT[name](hot_spends(spark, str(tmp_path)))
+    above = plan(found).split("SortMergeJoin")[0]
+    assert "Aggregate" in above and "Exchange" not in above
+
+
+def test_links_are_made_distinct_before_they_are_turned(spark):
+    pairs = [("a", "b"), ("b", "a"), ("a", "b"), ("c", "c"), ("d", None), (None, "d"), (None, None), ("b", "d")]
+    found = graph_queries.both_directions(spark.createDataFrame(pairs, "src string, dst string"))
+    want = {*pairs, *[(dst, src) for src, dst in pairs]}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "Exchange" not in plan(found).split("Generate")[0] and plan(found).count("Union") == 0
