@@ -182,7 +182,7 @@ def test_join_back_keeps_types_of_join_and_null_keys(spark):
     assert semi.columns == ["k", "v"] and semi.count() == 2
 
 
-GROUPED = ["neighbour sets"]
+GROUPED = ["neighbour sets", "cluster members", "optimal change"]
 
 
 @pytest.mark.parametrize("name", GROUPED)
@@ -199,3 +199,17 @@ def test_links_are_made_distinct_before_they_are_turned(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
     assert "Exchange" not in plan(found).split("Generate")[0] and plan(found).count("Union") == 0
+
+
+def test_entity_edges_need_no_address_after_the_entities_are_known(spark):
+    ledger = derived_ledger(spark, SMALL)
+    entity = ledger.tx_out.groupBy("address").agg(F.min("id").alias("entity_id"))
+    text = plan(entities.entity_edges(entity, ledger.tx_out, ledger.tx_in))
+    assert "address#" not in text and "entity_id#" in text
+
+
+def test_components_are_named_by_one_join(spark):
+    links = spark.createDataFrame([(5, 3), (3, 9), (8, 7), (9, 1), (7, 7)], "src long, dst long")
+    found = graph_algorithms.connected_components(links)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (3, 1), (5, 1), (7, 7), (8, 7), (9, 1)]
+    assert plan(found).split("== Initial Plan")[0].count("Join") == 1 and "Union" not in plan(found)
