@@ -7,6 +7,7 @@ from utxolens.functions.hot_keys import join_back
 from utxolens.operators import change, edges, entities, graph_algorithms, graph_queries, utxo
 from utxolens.sources import storage
 from utxolens.sources.derived import derived_ledger
+from utxolens.streaming import entity_state
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -213,3 +214,13 @@ def test_components_are_named_by_one_join(spark):
     found = graph_algorithms.connected_components(links)
     assert sorted(map(tuple, found.collect())) == [(1, 1), (3, 1), (5, 1), (7, 7), (8, 7), (9, 1)]
     assert plan(found).split("== Initial Plan")[0].count("Join") == 1 and "Union" not in plan(found)
+
+
+def test_the_rules_of_an_increment_read_rows_worked_out_once(spark):
+    ledger = derived_ledger(spark, SMALL)
+    spends = storage.materialize(change.output_spends(ledger.tx_out, ledger.tx_in), "spends")
+    touched = ledger.tx.filter("id % 3 = 0").select(F.col("id").alias("tx_id"))
+    found = entity_state.members_of(spends, touched)
+    want = entities.cluster_members(spends, change.all_change(spends)).join(touched, "tx_id", "left_semi")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "-rows" in plan(found) and "spends" not in plan(found)

@@ -51,12 +51,16 @@ def members_of(spends: DataFrame, touched: DataFrame) -> DataFrame:
     as_input = spends.join(
         scope.withColumnRenamed("tx_id", "spent_in"), "spent_in", "left_semi"
     ).select(*spends.columns)
-    # one row per output id, whichever side brought it in
-    rows = as_output.unionByName(as_input).dropDuplicates(["id"])
+    # one row per output id, whichever side brought it in; all the rules read it
+    work = WorkTables(spends.sparkSession, "touched-rows")
+    rows = work.write(as_output.unionByName(as_input).dropDuplicates(["id"]), "rows")
     shapes = transaction_shapes(rows).join(scope, "tx_id", "left_semi")
-    change = change_final(
-        change_reuse(rows), change_optimal(rows, shapes), change_peeling(rows, shapes)
-    ).join(touched, "tx_id", "left_semi")
+    change = work.write(
+        change_final(
+            change_reuse(rows), change_optimal(rows, shapes), change_peeling(rows, shapes)
+        ).join(touched, "tx_id", "left_semi"),
+        "change",
+    )
     return cluster_members(rows, change).join(touched, "tx_id", "left_semi")
 
 
