@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from utxolens.functions.hot_keys import join_back
 from utxolens.operators import change, edges, entities, graph_algorithms, graph_queries, utxo
+from utxolens.plans import catalog
 from utxolens.sources import storage
 from utxolens.sources.derived import derived_ledger
 from utxolens.streaming import entity_state
@@ -224,3 +225,39 @@ def test_the_rules_of_an_increment_read_rows_worked_out_once(spark):
     want = entities.cluster_members(spends, change.all_change(spends)).join(touched, "tx_id", "left_semi")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert "-rows" in plan(found) and "spends" not in plan(found)
+
+
+def test_a_table_on_both_sides_of_a_join_is_shuffled_once(spark, small_partitions):
+    links = storage.materialize(spark.range(500).selectExpr("id as src", "id * 7 % 90 as dst"), "links")
+    present = links.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    members = storage.materialize(spark.range(500).selectExpr("id % 90 as tx_id", "concat('a', id) as address"), "members")
+    numbers = storage.materialize(members.selectExpr("address", "cast(substring(address, 2) as long) as nr"), "numbers")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "ReusedExchange" in plan(graph_algorithms._hooked(present, 5))
+        linked = plan(entities.member_links(members, numbers))
+        assert linked.count("Scan parquet") - linked.count("ReusedExchange") <= 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_shapes_are_worked_out_once_for_all_rules(spark):
+    ledger = derived_ledger(spark, SMALL)
+    spends = storage.materialize(change.output_spends(ledger.tx_out, ledger.tx_in), "spends")
+    text = plan(change.all_change(spends))
+    assert "shapes-" in text and "sum(output" not in text
+
+
+def test_members_need_no_count_by_address(spark):
+    ledger = derived_ledger(spark, SMALL)
+    spends = storage.materialize(change.output_spends(ledger.tx_out, ledger.tx_in), "spends")
+    found = entities.cluster_members(spends, change.all_change(spends))
+    assert "all_uses" in plan(found) and "sum(uses" not in plan(found)
+
+
+def test_stored_outputs_lie_in_order(spark):
+    found = catalog.stored_outputs(spark, SMALL).select("id", F.spark_partition_id().alias("part")).collect()
+    for part in {r.part for r in found}:
+        ids = [r.id for r in found if r.part == part]
+        # a task may read several files one after the other
+        assert sum(b < a for a, b in zip(ids, ids[1:])) < 8
