@@ -261,3 +261,35 @@ def test_stored_outputs_lie_in_order(spark):
         ids = [r.id for r in found if r.part == part]
         # a task may read several files one after the other
         assert sum(b < a for a, b in zip(ids, ids[1:])) < 8
+
+
+def test_ids_are_known_before_inputs_meet_outputs(spark):
+    ledger = derived_ledger(spark, SMALL)
+    ids = utxo.address_ids(ledger.tx_out).filter("id % 5 > 0")
+    network = utxo.transaction_network(ledger.tx, ledger.tx_in, ledger.tx_out)
+    want = utxo.network_with_ids(network, ledger.tx, ids)
+    found = utxo.network_by_id(ledger.tx, ledger.tx_in, utxo.outputs_by_id(ledger.tx_out, ids))
+    assert found.columns == want.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    edge_table = catalog.DATASETS["id_edges"](spark, SMALL)
+    assert "Aggregate" not in plan(edge_table).split("Exchange")[0].split("Join")[0]
+    # no join above the pairs looks an address up
+    assert "address#" not in plan(edge_table)
+
+
+def test_co_spent_pairs_move_as_numbers(spark):
+    ledger = derived_ledger(spark, SMALL)
+    pairs = utxo.co_input_pairs(ledger.tx_out, ledger.tx_in)
+    want = edges.associated_edges(pairs, utxo.address_ids(ledger.tx_out))
+    found = catalog.DATASETS["co_spent_address_edges"](spark, SMALL)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert plan(found).split("Aggregate")[0].count("Join") == 0
+
+
+def test_digests_are_not_shuffled(spark):
+    found = utxo.address_ids(spark.range(50).select(F.concat(F.lit("a"), "id").alias("address")))
+    assert [r.id for r in found.orderBy("id").collect()] == list(range(1, 51))
+    by_digest = found.withColumn("digest", F.md5("address")).orderBy("digest").collect()
+    assert [r.id for r in by_digest] == list(range(1, 51))
+    moved = [line for line in plan(found).splitlines() if "Exchange" in line]
+    assert moved and "_md5" not in plan(found).split("Exchange hashpartitioning(_bucket")[1]

@@ -60,11 +60,10 @@ def dense_ids(
 
     Numbers follow the order of (md5(key), key). The first ``digits`` hex
     characters of the digest split the keys into ``16 ** digits`` even buckets
-    that are numbered side by side; only bucket sizes are totalled globally.
+    that are numbered side by side; only bucket sizes are totalled globally. The digest is
+    taken again where a bucket's keys lie, since it is longer than most keys.
     """
-    hashed = rows.withColumn("_md5", F.md5(key)).withColumn(
-        "_bucket", F.substring("_md5", 1, digits)
-    )
+    hashed = rows.withColumn("_bucket", F.substring(F.md5(key), 1, digits))
     across = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         hashed.groupBy("_bucket")
@@ -73,7 +72,9 @@ def dense_ids(
     )
     inside = Window.partitionBy("_bucket").orderBy("_md5", key)
     return (
-        hashed.withColumn("_nr", F.row_number().over(inside))
+        hashed.repartition("_bucket")
+        .withColumn("_md5", F.md5(key))
+        .withColumn("_nr", F.row_number().over(inside))
         # at most 16 ** digits rows
         .join(F.broadcast(offsets), "_bucket")
         .withColumn(out, (F.lit(last_id) + F.col("_offset") + F.col("_nr")).cast("long"))

@@ -282,6 +282,19 @@ def associated_edges(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
+def associated_numbers(pairs: DataFrame) -> DataFrame:
+    """:func:`associated_edges` where the pairs, each in one order, are of address ids already:
+    (src, dst) in both orders, once each. Only half of the edges move."""
+    once = pairs.select("input1", "input2").distinct()
+    ends = F.explode(
+        F.array(
+            F.struct(F.col("input1").alias("src"), F.col("input2").alias("dst")),
+            F.struct(F.col("input2").alias("src"), F.col("input1").alias("dst")),
+        )
+    )
+    return once.select(ends.alias("edge")).select("edge.*")
+
+
 def numbered_outputs(tx_out: DataFrame, numbers: DataFrame) -> DataFrame:
     """Outputs with the number of their address as ``address``.
 

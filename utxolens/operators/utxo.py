@@ -232,6 +232,70 @@ def network_with_ids(network: DataFrame, tx: DataFrame, ids: DataFrame) -> DataF
     )
 
 
+def outputs_by_id(tx_out: DataFrame, ids: DataFrame) -> DataFrame:
+    """(tx_id, idx, value, address_id, unknown): every output with an address; ``unknown`` is
+    the address itself where ``ids`` has none for it."""
+    known = ids.select("address", F.col("id").alias("address_id"))
+    return (
+        tx_out.select("tx_id", "idx", "address", "value")
+        .filter(F.col("address").isNotNull())
+        .join(known, "address", "left")
+        .select("tx_id", "idx", "value", "address_id", F.when(F.col("address_id").isNull(), F.col("address")).alias("unknown"))
+    )
+
+
+def network_by_id(
+    tx: DataFrame, tx_in: DataFrame, nodes: DataFrame, chosen: bool = False
+) -> DataFrame:
+    """:func:`network_with_ids` of the whole network, from :func:`outputs_by_id`.
+
+    Ids take the place of addresses before inputs meet outputs, so the pairs, by far the
+    largest table, are never shuffled to be looked up. With ``chosen``, ``tx_in`` holds a
+    part of the inputs: the outputs are cut to their transactions first.
+    """
+    spends = tx_in.select(
+        F.col("tx_out_id").alias("tx_id"), F.col("tx_out_index").alias("idx"), F.col("tx_in_id").alias("spent_in")
+    )
+    inputs = (
+        nodes.join(spends, ["tx_id", "idx"])
+        .select(
+            F.col("spent_in").alias("tx_id"),
+            F.col("address_id").alias("input_addr_id"),
+            F.col("unknown").alias("unknown_input"),
+            F.col("value").alias("input_value"),
+        )
+        .distinct()
+    )
+    made = nodes
+    if chosen:
+        touched = tx_in.select(F.col("tx_in_id").alias("tx_id")).distinct()
+        tx = tx.join(touched.withColumnRenamed("tx_id", "id"), "id", "left_semi")
+        made = nodes.join(touched, "tx_id", "left_semi")
+    outputs = made.select(
+        "tx_id",
+        F.col("address_id").alias("output_addr_id"),
+        F.col("unknown").alias("unknown_output"),
+        F.col("value").alias("output_value"),
+    ).distinct()
+    hashes = tx.select(F.col("id").alias("tx_id"), F.col("hash").alias("tx_hash"))
+    same = F.col("input_addr_id").eqNullSafe(F.col("output_addr_id")) & F.col("unknown_input").eqNullSafe(
+        F.col("unknown_output")
+    )
+    return (
+        inputs.join(hashes, "tx_id")
+        .join(outputs, "tx_id")
+        .filter(~same)
+        .select(
+            "tx_id",
+            "tx_hash",
+            "input_addr_id",
+            "output_addr_id",
+            ada("input_value").alias("input_ADA_value"),
+            ada("output_value").alias("output_ADA_value"),
+        )
+    )
+
+
 def id_range(df: DataFrame, column: str, low: int | Column, high: int | Column) -> DataFrame:
     """Rows with ``low <= column <= high``."""
     return df.filter(F.col(column).between(low, high))

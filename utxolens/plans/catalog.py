@@ -249,10 +249,14 @@ def address_ids(t):
     return utxo.address_ids(t.tx_out)
 
 
+def _nodes_by_id(t):
+    ids = materialize(utxo.address_ids(t.tx_out), "address-ids")
+    return materialize(utxo.outputs_by_id(t.tx_out, ids), "nodes")
+
+
 @dataset
 def network_with_ids(t):
-    network = utxo.transaction_network(t.tx, t.tx_in, t.tx_out)
-    return utxo.network_with_ids(network, t.tx, utxo.address_ids(t.tx_out))
+    return utxo.network_by_id(t.tx, t.tx_in, _nodes_by_id(t))
 
 
 @dataset
@@ -578,8 +582,9 @@ def address_stake_links(t):
 
 @dataset
 def co_spent_address_edges(t):
-    pairs = utxo.co_input_pairs(t.tx_out, t.tx_in)
-    return edges.associated_edges(pairs, utxo.address_ids(t.tx_out))
+    numbers = materialize(utxo.address_ids(t.tx_out).withColumnRenamed("id", "nr"), "address-ids")
+    numbered = edges.numbered_outputs(t.tx_out, numbers)
+    return edges.associated_numbers(utxo.co_input_pairs(numbered, t.tx_in, both_orders=False))
 
 
 @dataset
