@@ -262,3 +262,19 @@ def test_event_windows_drop_and_count_late_rows(spark, tmp_path):
     got = [(r.window_start.strftime("%d"), r.event_type, r.events) for r in counts.collect()]
     assert sorted(got) == [("01", "a", 2), ("02", "b", 1), ("03", "b", 2), ("05", "a", 1), ("09", "a", 1)]
     assert rows(event_windows.late_events(events, counts)) == [("a", 1), ("b", 1)]
+
+
+def test_stored_rows_are_compared_only_where_a_batch_may_repeat_them(spark, tmp_path):
+    root = str(tmp_path / "graph")
+    fields = "src bigint, dst bigint, tx_id bigint, tx_hash string"
+    first = spark.createDataFrame([(1, 2, 10, "a"), (1, 3, 10, None), (2, 3, 11, "b")], fields)
+    again = spark.createDataFrame([(1, 2, 10, "a"), (1, 3, 10, None), (1, 4, 10, "a"), (2, 3, 12, "b")], fields)
+    for batch_id, edges in enumerate((first, again, again)):
+        group = edges.select("tx_id").distinct()
+        sinks.write_edges(edges, None, root, "PAYS", batch_id, group=group)
+    stored = spark.read.parquet(f"{root}/edges/PAYS")
+    assert sorted(r.batch_id for r in stored.collect()) == [0, 0, 0, 1, 1]
+    # a retry of a batch doesn't see its own rows
+    sinks.write_edges(again, None, root, "PAYS", 1, group=again.select("tx_id").distinct())
+    assert spark.read.parquet(f"{root}/edges/PAYS").count() == 5
+    assert sinks.rows_of(first, again.select("tx_id").distinct()).count() == 2

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from utxolens.operators.edges import id_edges
 from utxolens.operators.rewards import ada_rewards_by_type
 from utxolens.operators.tokens import merge_token_supply, token_supply
-from utxolens.operators.utxo import new_addresses, network_with_ids, transaction_network
+from utxolens.operators.utxo import network_by_id, new_addresses, outputs_by_id
 from utxolens.functions.ranking import dense_ids
 from utxolens.sources.sinks import append_batch, overwrite, write_edges
+from utxolens.sources.storage import materialize
 from utxolens.schemas import ddl
 from utxolens.streaming.incremental import network_increment, stored_table
 
@@ -111,9 +112,18 @@ def edge_feed(
     root: str,
     checkpoint: str,
 ) -> None:
-    """Append the transfer edges, by address id, of the inputs that arrive."""
+    """Append the transfer edges, by address id, of the inputs that arrive.
+
+    Outputs get the ids of their addresses once, those without are left out, so the edges
+    of a batch have both ends. A stored edge can only equal one of its own transaction.
+    """
+    nodes = materialize(
+        outputs_by_id(tx_out, addresses).filter(F.col("address_id").isNotNull()), "nodes"
+    )
+
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        network = network_with_ids(transaction_network(tx, batch, tx_out), tx, addresses)
-        write_edges(id_edges(network), addresses, root, "TRANSACTED_WITH", batch_id)
+        network = network_by_id(tx, batch, nodes, chosen=True)
+        touched = batch.select(F.col("tx_in_id").alias("tx_id")).distinct()
+        write_edges(id_edges(network), None, root, "TRANSACTED_WITH", batch_id, group=touched)
 
     drain(tx_in_stream, each_batch, checkpoint)

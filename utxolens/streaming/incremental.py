@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from utxolens.operators.tokens import token_supply
 from utxolens.operators.utxo import new_addresses, transaction_network
 from utxolens.functions.ranking import dense_ids
-from utxolens.sources.sinks import append_batch
+from utxolens.sources.sinks import append_batch, rows_of
 from utxolens.sources.storage import read_if_present
 
 _MARKS = "job string, source string, last_id bigint, batch_id bigint"
@@ -150,7 +150,7 @@ def network_increment(
     network = transaction_network(some_tx, tx_in, tx_out, chosen=True)
     if stored is None:
         return network
-    known = stored.join(some_tx.select(F.col("hash").alias("tx_hash")), "tx_hash", "left_semi")
+    known = rows_of(stored, some_tx.select(F.col("hash").alias("tx_hash")))
     return network.join(known.select(*network.columns), network.columns, "left_anti")
 
 
