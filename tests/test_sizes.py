@@ -4,9 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_plans import plan
+from utxolens.operators import change, entities, network_metrics
 from utxolens.plans import catalog
 from utxolens.session import ADVISORY_SIZE, INITIAL_PARTITIONS, INPUT_PER_PARTITION, tune
+from utxolens.sources.derived import derived_ledger
+from utxolens.sources.storage import materialize
 
+SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -45,3 +49,19 @@ def test_only_tables_of_the_ledger_count_as_its_input(spark, settings, tmp_path,
     (tmp_path / "lineitem.parquet").write_bytes(bytes(30_000))
     catalog._tuned(spark, str(tmp_path))
     assert shuffled_in(spark) == 30
+
+
+def lifetimes_of(spark):
+    ledger = derived_ledger(spark, SMALL)
+    return network_metrics.output_lifetimes(ledger.tx, ledger.tx_in, ledger.tx_out)
+
+
+def entity_of(spark):
+    return spark.createDataFrame([("addr1", 1)], "address string, entity_id bigint")
+
+
+def test_outputs_that_do_not_count_are_dropped_before_blocks_are_looked_up(spark):
+    found = network_metrics.entity_balances(entity_of(spark), lifetimes_of(spark), 30)
+    text = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = lambda *parts: next(i for i, line in enumerate(text) if all(p in line for p in parts))
+    assert at("Join Inner, (tx_id") < at("Filter", "spent_block") < at("Join LeftOuter, ((tx_id")

@@ -86,10 +86,11 @@ def output_lifetimes(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame) -> Data
     spends = tx_in.select(
         "tx_in_id", F.col("tx_out_id").alias("tx_id"), F.col("tx_out_index").alias("idx")
     ).join(spenders, "tx_in_id", "left")
+    # spends first: what a reader asks of them is filtered before the blocks are looked up
     return (
         tx_out.select("id", "tx_id", "idx", "address", "value")
-        .join(made, "tx_id")
         .join(spends, ["tx_id", "idx"], "left")
+        .join(made, "tx_id")
         .select(
             "id",
             "tx_id",
@@ -114,8 +115,9 @@ def unspent_at(cut_off: Column | int) -> Column:
 
 def entity_balances(entity: DataFrame, lifetimes: DataFrame, cut_off: Column | int) -> DataFrame:
     """(entity_id, balance) in lovelace at a block; 0 for entities with nothing."""
-    amount = F.when(unspent_at(cut_off), F.col("value")).otherwise(0)
-    by_address = lifetimes.groupBy("address").agg(wide_sum(amount).alias("balance"))
+    # outputs that do not count add nothing, so they need not be moved
+    counted = lifetimes.filter(unspent_at(cut_off))
+    by_address = counted.groupBy("address").agg(wide_sum("value").alias("balance"))
     return (
         entity.join(by_address, "address", "left")
         .groupBy("entity_id")
