@@ -65,3 +65,8 @@ def test_outputs_that_do_not_count_are_dropped_before_blocks_are_looked_up(spark
     text = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = lambda *parts: next(i for i, line in enumerate(text) if all(p in line for p in parts))
     assert at("Join Inner, (tx_id") < at("Filter", "spent_block") < at("Join LeftOuter, ((tx_id")
+
+
+def test_a_series_of_balances_moves_an_address_once(spark):
+    found = network_metrics.balance_series(lifetimes_of(spark), entity_of(spark), [3, 9, 30])
+    assert "Window" not in plan(found) and "Union" not in plan(found)

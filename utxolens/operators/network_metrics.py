@@ -129,55 +129,45 @@ def balance_series(lifetimes: DataFrame, entity: DataFrame, cut_offs: Sequence[i
     """(cut_off, entity_id, balance) for several blocks in one pass.
 
     An output adds its value at the first cut-off that counts it and takes it back
-    at the first that no longer does; running totals per entity do the rest. An
-    output is two rows however many cut-offs it lives through.
+    at the first that no longer does, in a column for each cut-off; running totals of an
+    entity's columns do the rest, so that an address is moved once for all cut-offs.
     """
     ordered = F.array(*[F.lit(c).cast("long") for c in sorted(cut_offs)])
     starts = F.size(F.filter(ordered, lambda c: c < F.col("created_block")))
     ends = F.size(F.filter(ordered, lambda c: c <= F.col("spent_block")))
-    steps = (
-        lifetimes.select(
-            "address",
-            F.explode(
-                F.array(
-                    F.struct(starts.alias("at"), F.col("value").alias("change")),
-                    F.struct(
-                        F.when(
-                            F.col("has_spend"),
-                            F.when(F.col("spent_block").isNull(), starts).otherwise(
-                                F.greatest(starts, ends)
-                            ),
-                        ).otherwise(F.size(ordered)).alias("at"),
-                        (-F.col("value")).alias("change"),
-                    ),
-                )
-            ).alias("step"),
-        )
-        .select("address", "step.at", "step.change")
-        .filter(F.col("at") < F.size(ordered))
-        .groupBy("address", "at")
-        .agg(wide_sum("change").alias("change"))
+    left = (
+        F.when(~F.col("has_spend"), F.size(ordered))
+        .when(F.col("spent_block").isNull(), starts)
+        .otherwise(ends)
     )
-    changes = (
-        steps.join(entity, "address").groupBy("entity_id", "at").agg(F.sum("change").alias("change"))
+    places = range(len(cut_offs))
+    changes = [
+        wide_sum(
+            F.when(F.col("starts") == at, F.col("value")).when(F.col("left") == at, -F.col("value"))
+        ).alias(f"change_{at}")
+        for at in places
+    ]
+    by_address = (
+        lifetimes.select("address", "value", starts.alias("starts"), left.alias("left"))
+        # what no cut-off counts changes nothing
+        .filter(F.col("starts") < F.col("left"))
+        .groupBy("address")
+        .agg(*changes)
     )
-    every = (
-        entity.select("entity_id")
-        .distinct()
-        .select("entity_id", F.explode(F.sequence(F.lit(0), F.size(ordered) - 1)).alias("at"))
-        .withColumn("change", F.lit(0).cast("decimal(38,0)"))
+    totals = (
+        entity.select("address", "entity_id")
+        .join(by_address, "address", "left")
+        .groupBy("entity_id")
+        .agg(*[F.sum(f"change_{at}").alias(f"change_{at}") for at in places])
     )
-    # one row per cut-off in each window: as many rows as there are cut-offs
-    running = Window.partitionBy("entity_id").orderBy("at")
-    return (
-        every.unionByName(changes)
-        .groupBy("entity_id", "at")
-        .agg(F.sum("change").alias("change"))
-        .select(
-            F.element_at(ordered, F.col("at") + 1).alias("cut_off"),
-            "entity_id",
-            F.sum("change").over(running).cast("long").alias("balance"),
+    running, balances = F.lit(0).cast("decimal(38,0)"), []
+    for at in places:
+        running = (running + F.coalesce(f"change_{at}", F.lit(0))).cast("decimal(38,0)")
+        balances.append(
+            F.struct(F.element_at(ordered, at + 1).alias("cut_off"), running.cast("long").alias("balance"))
         )
+    return totals.select(F.explode(F.array(*balances)).alias("at"), "entity_id").select(
+        "at.cut_off", "entity_id", "at.balance"
     )
 
 
