@@ -70,3 +70,14 @@ def test_outputs_that_do_not_count_are_dropped_before_blocks_are_looked_up(spark
 def test_a_series_of_balances_moves_an_address_once(spark):
     found = network_metrics.balance_series(lifetimes_of(spark), entity_of(spark), [3, 9, 30])
     assert "Window" not in plan(found) and "Union" not in plan(found)
+
+
+def test_inputs_are_made_distinct_once(spark):
+    ledger = derived_ledger(spark, SMALL)
+    spends = materialize(change.output_spends(ledger.tx_out, ledger.tx_in), "spends")
+    found = entities.cluster_members(spends, spends.select("tx_id", F.col("id").alias("out_id")).limit(0))
+    text = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Aggregate [" in line and "address#" in line for line in text) == 1
+    repeated = spends.unionByName(spends)
+    again = entities.cluster_members(repeated, spends.select("tx_id", F.col("id").alias("out_id")).limit(0))
+    assert again.count() == again.distinct().count()

@@ -19,10 +19,9 @@ def cluster_members(spends: DataFrame, change: DataFrame) -> DataFrame:
 
     Change without an input cannot occur: each rule asks for inputs.
     """
-    inputs = (
-        spends.filter(F.col("spent_in").isNotNull())
-        .select(F.col("spent_in").alias("tx_id"), "address")
-        .distinct()
+    # made distinct at the end, where a transaction's rows lie together already
+    inputs = spends.filter(F.col("spent_in").isNotNull()).select(
+        F.col("spent_in").alias("tx_id"), "address"
     )
     changed = spends.select(F.col("id").alias("out_id"), "address").join(change, "out_id")
     every = inputs.unionByName(changed.select("tx_id", "address"))
@@ -34,7 +33,6 @@ def cluster_members(spends: DataFrame, change: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("all_uses"))
         .filter(F.col("all_uses") > 1)
     )
-    # a transaction's rows lie together already
     return (
         join_back(every, enough, "tx_id", how="left_semi", keep=True)
         .select("tx_id", "address", DEAL)
