@@ -20,7 +20,7 @@ RUNTIME_SETTINGS = {
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 ADVISORY_SIZE = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 # Stored bytes of input per partition of a shuffle, and the most that small ones are joined to.
-INPUT_PER_PARTITION = 8 << 20
+INPUT_PER_PARTITION = 16 << 20
 LARGEST_ADVISORY = 16 << 20
 
 
