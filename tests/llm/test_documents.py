@@ -61,6 +61,18 @@ def test_near_duplicates(tricky, rows, empty):
     assert simhash.near_duplicates(empty).count() == simhash.dedup(empty).count() == 0
 
 
+def test_a_text_is_not_dropped_for_another_with_its_doc_id(spark, rows):
+    texts = [text for _, text in rows if text and len(text.split()) > 30]
+    first, second, third, fourth = list({plain_fingerprint(t): t for t in texts}.values())[:4]
+    assert all((plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() > 4 for a, b in
+               [(first, second), (first, third), (first, fourth), (second, third), (second, fourth), (third, fourth)])
+    # one doc_id with two texts; one with a copy and a text of its own; copies without a doc_id
+    odd = [(1, first), (1, second), (3, first), (3, third), (3, third), (None, fourth), (None, fourth), (None, second)]
+    kept = simhash.dedup(as_table(spark, odd)).collect()
+    want = [(1, first), (1, second), (3, third), (None, fourth)]
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(want)
+
+
 @pytest.mark.parametrize("chunk", [15, 1000])
 def test_links_connect_what_all_pairs_connect(spark, monkeypatch, chunk):
     monkeypatch.setattr(simhash, "CHUNK", chunk)

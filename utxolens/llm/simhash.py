@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from utxolens.llm.decontaminate import small
+from utxolens.functions.hot_keys import join_back
+from utxolens.llm.decontaminate import small, text_digest
 from utxolens.llm.tokens import texts
 from utxolens.operators.graph_algorithms import connected_components
 from utxolens.sources.storage import WorkTables
@@ -34,7 +35,7 @@ REFERENCES = 16
 TASK_ROWS = 50_000
 CHUNK = 1_000
 
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
+FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("fingerprint", pa.int64())])
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -62,15 +63,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint) of every whole text; the number is shown as signed."""
+    """(doc_id, digest, fingerprint) of every whole text; the number is shown as signed."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(text.as_py(), shingle) for text in batch["text"]]
             signed = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(signed)], schema=FINGERPRINTS)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["digest"].cast(pa.string()), pa.array(signed)], schema=FINGERPRINTS
+            )
 
-    return texts(docs).mapInArrow(each, "doc_id long, fingerprint long")
+    read = texts(docs).withColumn("digest", text_digest(F.col("text")))
+    return read.mapInArrow(each, "doc_id long, digest string, fingerprint long")
 
 
 def bands_for(rows: int, max_bits: int) -> tuple[int, int]:
@@ -193,18 +197,13 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.groupBy("task").applyInArrow(compare, "src long, dst long")
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
-) -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row per row of ``docs``.
+def _groups(own: DataFrame, max_bits: int) -> DataFrame:
+    """(fingerprint, component, component_id) of the fingerprints of a written table.
 
-    ``fingerprint`` is 16 hexadecimal digits; ``component_id`` is the smallest doc_id that
-    links reach, its own included. Null and wordless texts have fingerprint zero and are
-    linked like any other. A row with a null doc_id links others but names no component;
-    repeated rows share theirs; an empty table gives no rows; other columns are not read.
+    ``component`` is the smallest fingerprint that links reach, ``component_id`` the smallest
+    doc_id there, null if no row has one.
     """
-    work = WorkTables(docs.sparkSession, "simhash")
-    own = work.write(fingerprints(docs, shingle), "fingerprints")
+    work = WorkTables(own.sparkSession, "simhash-groups")
     distinct = work.write(
         own.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct"
     )
@@ -217,13 +216,30 @@ def near_duplicates(
     )
     smallest = work.write(linked.groupBy("component").agg(F.min("first").alias("smallest")), "smallest")
     named = linked.select("fingerprint", "component").join(smallest, "component")
-    component = work.write(
-        distinct.join(named.select("fingerprint", "smallest"), "fingerprint", "left").select(
-            "fingerprint", F.coalesce("smallest", "first").alias("component_id")
+    return work.write(
+        distinct.join(named, "fingerprint", "left").select(
+            "fingerprint",
+            F.coalesce("component", "fingerprint").alias("component"),
+            F.coalesce("smallest", "first").alias("component_id"),
         ),
         "components",
     )
-    return own.join(component, "fingerprint").select(
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """(doc_id, fingerprint, component_id): one row per row of ``docs``.
+
+    ``fingerprint`` is 16 hexadecimal digits; ``component_id`` is the smallest doc_id that
+    links reach, its own included. Null and wordless texts have fingerprint zero and are
+    linked like any other. A row with a null doc_id links others but names no component;
+    repeated rows share theirs; an empty table gives no rows; other columns are not read.
+    """
+    work = WorkTables(docs.sparkSession, "simhash")
+    own = work.write(fingerprints(docs, shingle), "fingerprints")
+    groups = _groups(own, max_bits).select("fingerprint", "component_id")
+    return own.join(groups, "fingerprint").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -231,26 +247,40 @@ def near_duplicates(
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The document with the smallest doc_id of each group, all columns as they are.
+    """One document of each group that links connect, all columns as they are.
 
-    Rows with a null doc_id stay, as they can't be named; of rows with equal doc_id that
-    would stay, one does.
+    It is the one with the smallest doc_id, rows without a doc_id coming last; of several
+    texts with that doc_id, the one with the smallest digest. Rows are told apart by doc_id
+    and text, so a text stays if only another text with its doc_id is a copy of something.
     """
     work = WorkTables(docs.sparkSession, "simhash-dedup")
-    found = work.write(near_duplicates(docs, shingle, max_bits), "groups")
-    gone = work.write(
-        found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone"
+    own = work.write(fingerprints(docs, shingle), "fingerprints")
+    groups = _groups(own, max_bits).select("fingerprint", "component")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    placed = work.write(own.join(groups, "fingerprint").select("component", place.alias("place")), "placed")
+    firsts = (
+        placed.groupBy("component")
+        .agg(F.min("place").alias("first"), F.count("*").alias("rows"))
+        .filter("rows > 1")
+        .select("component", "first")
+    )
+    counted = work.write(
+        join_back(placed, firsts, "component")
+        .groupBy("place", F.col("place").eqNullSafe(F.col("first")).alias("stays"))
+        .agg(F.count("*").alias("rows"))
+        .select(F.col("place.doc_id").alias("its_id"), F.col("place.digest").alias("its_digest"), "stays", "rows"),
+        "counted",
     )
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    repeated = work.write(
-        found.filter(F.col("doc_id") == F.col("component_id"))
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("doc_id"),
-        "repeated",
+    # the row travels as one value, whatever its columns are called
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("long").alias("own_id"),
+        text_digest(F.col("text").cast("string")).alias("own_digest"),
     )
+    same = F.col("own_id").eqNullSafe(F.col("its_id")) & (F.col("own_digest") == F.col("its_digest"))
+    kept = rows.join(small(counted.filter("not stays")), same, "left_anti")
+    repeated = counted.filter("stays and rows > 1")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small(repeated), "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        return kept.select("row.*")
+    once = kept.join(small(repeated), same, "left_semi").dropDuplicates(["own_id", "own_digest"])
+    return kept.join(small(repeated), same, "left_anti").unionByName(once).select("row.*")
