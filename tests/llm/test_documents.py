@@ -194,6 +194,29 @@ def test_repeats_of_odd_rows(tricky, empty, rows):
     assert repeats.without_repeats(empty).count() == 0
 
 
+def test_runs_that_share_a_digit_by_chance_are_not_cut_into_windows(spark, monkeypatch):
+    written = {}
+    write = repeats.WorkTables.write
+
+    def kept(self, df, label):
+        table = write(self, df, label)
+        if label == "edges":
+            written[label] = [(r.ord, len(r.places)) for r in table.collect()]
+        return table
+
+    monkeypatch.setattr(repeats.WorkTables, "write", kept)
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase = letters(60)
+    texts = [(i, letters(150) + phrase + letters(150)) for i in range(30)]
+    assert all(r.n_removed == 0 for r in repeats.without_repeats(as_table(spark, texts)).collect())
+    assert written["edges"] == []
+    texts[7] = (7, texts[7][1] + texts[3][1][20:300])
+    removed = {r.doc_id: r.n_removed for r in repeats.without_repeats(as_table(spark, texts)).collect()}
+    assert removed == {i: 280 if i == 7 else 0 for i in range(30)}
+    assert {ord_ for ord_, _ in written["edges"]} <= {3, 7}
+
+
 # ------------------------------------------------------------------ toxicity
 
 

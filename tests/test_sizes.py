@@ -1,5 +1,7 @@
 """What moves, and over how many partitions, as the input grows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from tests.test_plans import plan
 from utxolens.operators import change, entities, network_metrics
 from utxolens.plans import catalog
 from utxolens.session import ADVISORY_SIZE, INITIAL_PARTITIONS, INPUT_PER_PARTITION, tune
+from utxolens.sources import storage
 from utxolens.sources.derived import derived_ledger
 from utxolens.sources.storage import materialize
 
@@ -81,3 +84,23 @@ def test_inputs_are_made_distinct_once(spark):
     repeated = spends.unionByName(spends)
     again = entities.cluster_members(repeated, spends.select("tx_id", F.col("id").alias("out_id")).limit(0))
     assert again.count() == again.distinct().count()
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = disk.getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_shuffles_of_a_work_table_go_with_its_write(spark):
+    rows = spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    before = shuffle_files(spark)
+    table = materialize(rows, "counted")
+    ends = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < ends:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(storage.CLEANUP, None) is None
+    # the same rows can be asked for again
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, table.collect()))
+    assert materialize(rows, "again").count() == 7

@@ -9,7 +9,10 @@ pass-one digit, its least ``DIGIT``-byte string by hash; windows in a row with t
 are one run. Pass one orders runs by that digit, pass two by all their bytes: a run equal
 to an earlier one is repeated as a whole, and a run whose digit nobody shares has no
 repeat at all. What is left are runs that share a digit but differ, at the edges of
-repeats; pass three orders their single windows by all their bytes.
+repeats or by chance. Each is cut in two: the windows of one half all hold the digit with
+so many bytes before it, those of the other with so many behind it. Pass three groups the
+halves by these longer digits, and drops those that nobody shares; pass four orders the
+single windows of the others by all their bytes.
 
 Rows are ordered within a task by an external sort and read in one pass, so a frequent
 digit needs time but no memory, and equal runs of a buffer travel once.
@@ -23,10 +26,10 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from utxolens.llm.decontaminate import small
+from utxolens.functions.hot_keys import join_back
 from utxolens.sources.storage import WorkTables
 
 LENGTH = 100
@@ -34,11 +37,13 @@ DIGIT = 24
 BUFFER_BYTES = 1 << 19
 TASK_RUNS = 500_000
 MERGE_ROWS = 100_000
+BROADCAST_PLACES = 2_000_000  # more are joined with the texts by shuffle
 RUN, REPEAT, EDGE = 0, 1, 2
 
 # Odd multipliers of two independent polynomial hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 ROWS_DDL = "h long, r long, ord long, at long, kind int"
+HALVES_DDL = "left int, halves long"
 NULL_ID = 1 << 62
 
 
@@ -92,10 +97,12 @@ def _least_of(values: np.ndarray, width: int) -> np.ndarray:
 def runs(data: np.ndarray, doc_of: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Runs of windows of texts laid one after the other.
 
-    (digit hash, hash of the whole run, first window, windows). ``doc_of`` numbers the
-    text of each byte; no window crosses texts.
+    (digit hash, hash of the whole run, first window, windows, windows of the first half,
+    hashes of the longer digits of both halves, 32 bits each). ``doc_of`` numbers the text of
+    each byte; no window crosses texts.
     """
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    none = hashes, hashes, numbers, numbers, numbers, hashes
     windows = len(data) - length + 1
     if windows <= 0:
         return none
@@ -114,8 +121,15 @@ def runs(data: np.ndarray, doc_of: np.ndarray, length: int = LENGTH) -> tuple[np
     kept = valid[firsts]
     firsts, lasts = firsts[kept], lasts[kept]
     whole = two.of(firsts, lasts + length)
-    shape = ((chosen[firsts] - firsts) * 256 + (lasts - firsts)).astype(np.uint64)
-    return digits[chosen[firsts]], _mixed(whole + shape), firsts, lasts - firsts + 1
+    at, count = chosen[firsts], lasts - firsts + 1
+    shape = ((at - firsts) * 256 + (lasts - firsts)).astype(np.uint64)
+    # windows that start by ``half`` or more before the digit, and the others
+    half = (length - digit) // 2
+    left = np.clip(at - half - firsts + 1, 0, count)
+    before = two.of(np.where(left > 0, at - half, at), at + digit) >> np.uint64(32)
+    behind = two.of(at, np.where(left < count, at + length - half + 1, at)) >> np.uint64(32)
+    halves = (before << np.uint64(32)) | behind
+    return digits[at], _mixed(whole + shape), firsts, count, left, halves
 
 
 def packed_place(check: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -166,7 +180,7 @@ def _laid_out(pieces: list) -> tuple[np.ndarray, ...]:
     )
 
 
-def _rows(h, r, ord_, at) -> pa.RecordBatch:
+def _rows(h, r, ord_, at, **more) -> pa.RecordBatch:
     """Rows of a buffer in order; equal ones but the first are repeats already.
 
     A repeat needs no partner any more, so its key is its place, which no one shares.
@@ -184,8 +198,9 @@ def _rows(h, r, ord_, at) -> pa.RecordBatch:
             pa.array(ord_),
             pa.array(at),
             pa.array(np.where(again, REPEAT, RUN).astype(np.int32)),
+            *[pa.array(values[order]) for values in more.values()],
         ],
-        names=["h", "r", "ord", "at", "kind"],
+        names=["h", "r", "ord", "at", "kind", *more],
     )
 
 
@@ -193,10 +208,17 @@ def _run_rows(length: int, room: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in _buffers(batches, length, room):
             data, doc_of, starts, ords, checks = _laid_out(docs)
-            h, r, first, windows = runs(data, doc_of, length)
+            h, r, first, windows, left, halves = runs(data, doc_of, length)
             doc = doc_of[first]
             at = packed_place(checks[doc], first - starts[doc], windows)
-            yield _rows(h.view(np.int64), r.view(np.int64), ords[doc], at)
+            yield _rows(
+                h.view(np.int64),
+                r.view(np.int64),
+                ords[doc],
+                at,
+                left=left.astype(np.int32),
+                halves=halves.view(np.int64),
+            )
 
     return each
 
@@ -221,49 +243,78 @@ def _window_rows(length: int, room: int):
     return each
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows in order of (h, r, ord, at): repeats, and firsts whose h has several r."""
-    held = None  # the first row of the last h, while only one r of it was seen
-    last_h = last_r = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, r, ord_, at, kind = (batch[name].to_numpy() for name in ("h", "r", "ord", "at", "kind"))
-        same_h, same_r = np.zeros(len(h), bool), np.zeros(len(h), bool)
-        same_h[1:] = h[1:] == h[:-1]
-        same_r[1:] = same_h[1:] & (r[1:] == r[:-1])
-        if last_h is not None:
-            same_h[0] = h[0] == last_h
-            same_r[0] = same_h[0] and r[0] == last_r
-        plain = kind == RUN
-        repeat = ~plain | same_r
-        edge = plain & same_h & ~same_r  # a further r of its h
-        # the first row of an h is an edge too if a further r follows
-        group = np.cumsum(~same_h)
-        several = np.zeros(group[-1] + 1, bool)
-        several[group[edge]] = True
-        edge |= plain & ~same_h & several[group]
-        out_ord, out_at = [ord_[repeat], ord_[edge]], [at[repeat], at[edge]]
-        kinds = [np.full(repeat.sum(), REPEAT), np.full(edge.sum(), EDGE)]
-        if held is not None and several[0]:
-            out_ord.append(np.array(held[:1]))
-            out_at.append(np.array(held[1:]))
-            kinds.append(np.array([EDGE]))
-            held = None
-        if not same_h[1:].all() or not same_h[0]:
-            start = np.flatnonzero(~same_h)[-1]
-            single = plain[start] and not several[group[start]]
-            held = (ord_[start], at[start]) if single else None
-        last_h, last_r = h[-1], r[-1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(out_ord).astype(np.int64)),
-                pa.array(np.concatenate(out_at).astype(np.int64)),
-                pa.array(np.concatenate(kinds).astype(np.int32)),
-            ],
-            names=["ord", "at", "kind"],
+def _settle(*more: str):
+    """Over rows in order of (h, r, ord, at): repeats, and firsts whose h has several r, with
+    the columns ``more``."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("ord", "at", *more)
+        held = None  # the first row of the last h, while only one r of it was seen
+        last_h = last_r = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, r, kind = (batch[name].to_numpy() for name in ("h", "r", "kind"))
+            columns = [batch[name].to_numpy() for name in names]
+            same_h, same_r = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            same_h[1:] = h[1:] == h[:-1]
+            same_r[1:] = same_h[1:] & (r[1:] == r[:-1])
+            if last_h is not None:
+                same_h[0] = h[0] == last_h
+                same_r[0] = same_h[0] and r[0] == last_r
+            plain = kind == RUN
+            repeat = ~plain | same_r
+            edge = plain & same_h & ~same_r  # a further r of its h
+            # the first row of an h is an edge too if a further r follows
+            group = np.cumsum(~same_h)
+            several = np.zeros(group[-1] + 1, bool)
+            several[group[edge]] = True
+            edge |= plain & ~same_h & several[group]
+            found = [[values[repeat], values[edge]] for values in columns]
+            kinds = [np.full(repeat.sum(), REPEAT), np.full(edge.sum(), EDGE)]
+            if held is not None and several[0]:
+                for values, value in zip(found, held):
+                    values.append(np.array([value]))
+                kinds.append(np.array([EDGE]))
+                held = None
+            if not same_h[1:].all() or not same_h[0]:
+                start = np.flatnonzero(~same_h)[-1]
+                single = plain[start] and not several[group[start]]
+                held = [values[start] for values in columns] if single else None
+            last_h, last_r = h[-1], r[-1]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(parts).astype(values.dtype))
+                    for parts, values in zip(found, columns)
+                ]
+                + [pa.array(np.concatenate(kinds).astype(np.int32))],
+                names=[*names, "kind"],
+            )
+
+    return settle
+
+
+def shared_halves(edges: DataFrame) -> DataFrame:
+    """(ord, at): the halves of runs (ord, at, h, left, halves) whose longer digit another
+    run has too. Equal windows of two runs lie in halves that share it."""
+    count, start = F.col("at").bitwiseAND(F.lit(127)), F.shiftright("at", 7)
+
+    def half(number: int, digit: Column, first: Column, windows: Column) -> Column:
+        place = F.shiftleft(first, 7).bitwiseOR(windows.cast("long"))
+        return F.struct(
+            F.xxhash64(F.lit(number), "h", digit).alias("key"), place.alias("at"), windows.alias("windows")
         )
 
+    mask = F.lit(0xFFFFFFFF)
+    both = F.array(
+        half(0, F.shiftrightunsigned("halves", 32), start, F.col("left")),
+        # the bits above the start, the text's checksum, stay as they are
+        half(1, F.col("halves").bitwiseAND(mask), start + F.col("left"), count - F.col("left")),
+    )
+    cut = edges.select("ord", F.explode(both).alias("half")).select("ord", "half.*").filter("windows > 0")
+    shared = cut.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return join_back(cut, shared, "key", how="left_semi").select("ord", "at")
+
 
 def _merged(length: int):
     """Removed stretches of each text from its repeated windows."""
@@ -302,18 +353,19 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     work = WorkTables(docs.sparkSession, "repeats")
     tasks = _tasks(docs)
 
-    def settled(rows: DataFrame, label: str) -> DataFrame:
+    def settled(rows: DataFrame, label: str, ddl: str = "", *more: str) -> DataFrame:
         ordered = rows.repartition(tasks, "h").sortWithinPartitions("h", "r", "ord", "at")
-        return work.write(ordered.mapInArrow(_settle, "ord long, at long, kind int"), label)
+        return work.write(ordered.mapInArrow(_settle(*more), f"ord long, at long, {ddl}kind int"), label)
 
-    found = settled(docs.select("ord", "text").mapInArrow(_run_rows(length, BUFFER_BYTES), ROWS_DDL), "runs")
+    run_rows = docs.select("ord", "text").mapInArrow(_run_rows(length, BUFFER_BYTES), f"{ROWS_DDL}, {HALVES_DDL}")
+    found = settled(run_rows, "runs", f"h long, {HALVES_DDL}, ", "h", "left", "halves")
     edges = work.write(
-        found.filter(F.col("kind") == EDGE)
+        shared_halves(found.filter(F.col("kind") == EDGE))
         .groupBy("ord", F.shiftright("at", 39).alias("check"))
         .agg(F.sort_array(F.collect_set("at")).alias("places")),
         "edges",
     )
-    bounded = (edges.agg(F.sum(F.size("places"))).first()[0] or 0) <= 2_000_000
+    bounded = (edges.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
     cut = F.broadcast(edges) if bounded else edges
     held = docs.select("ord", "check", "text").join(cut, ["ord", "check"]).select("ord", "text", "places")
     single = settled(held.mapInArrow(_window_rows(length, BUFFER_BYTES), ROWS_DDL), "windows")
@@ -323,11 +375,15 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .unionByName(single.filter(F.col("kind") == REPEAT).select("ord", "at"))
     )
     groups = max(1, ceil(repeated.count() / MERGE_ROWS))
-    return (
+    spans = work.write(
         repeated.withColumn("task", F.pmod(F.xxhash64("ord"), F.lit(groups)))
         .groupBy("task")
-        .applyInArrow(_merged(length), "ord long, check long, starts array<long>, ends array<long>")
+        .applyInArrow(_merged(length), "ord long, check long, starts array<long>, ends array<long>"),
+        "spans",
     )
+    for table in (found, edges, single):
+        work.drop(table)
+    return spans
 
 
 def _tasks(docs: DataFrame) -> int:
@@ -362,9 +418,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     table gives no rows; other columns are not read.
     """
     own = keyed(docs)
-    work = WorkTables(docs.sparkSession, "repeats-spans")
-    spans = work.write(removed_spans(own, length), "spans")
-    bounded = (spans.agg(F.sum(F.size("starts"))).first()[0] or 0) <= 2_000_000
+    spans = removed_spans(own, length)
+    bounded = (spans.agg(F.sum(F.size("starts"))).first()[0] or 0) <= BROADCAST_PLACES
     joined = own.join(F.broadcast(spans) if bounded else spans, ["ord", "check"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +72,21 @@ def listing(spark: SparkSession, folder: str) -> tuple:
     return tuple(sorted(found))
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go when it ends, not when the driver happens to
+    collect its garbage. For plans that nothing reads again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 class WorkTables:
     """Tables written by one iterative job, under a folder of its own."""
 
@@ -86,7 +103,8 @@ class WorkTables:
         """Write ``df`` as parquet and return a scan of it."""
         path = f"{self.folder}/{self._written:05d}-{label}"
         self._written += 1
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._paths[table] = path
         return table
