@@ -148,6 +148,32 @@ def test_rounds_of_page_rank_move_sources_instead_of_edges(spark, monkeypatch):
     assert {(r.id, r.weight) for r in lists} == {(0, 0.01), (1, 1.0)}
 
 
+def test_page_rank_holds_the_ranks_of_one_round(spark, monkeypatch):
+    """Each round is a table of its own, so that its shuffles go, and the one before goes too."""
+    held, most = set(), []
+    write, drop = algorithms.WorkTables.write, algorithms.WorkTables.drop
+
+    def kept(self, df, label):
+        table = write(self, df, label)
+        if label == "ranks":
+            held.add(self.path(table))
+            most.append(len(held))
+        return table
+
+    def dropped(self, table):
+        held.discard(self.path(table))
+        drop(self, table)
+
+    monkeypatch.setattr(algorithms.WorkTables, "write", kept)
+    monkeypatch.setattr(algorithms.WorkTables, "drop", dropped)
+    pairs = random_edges(9, 40, 200)
+    table = edge_table(spark, pairs, "bigint")
+    got = dict(rows(algorithms.pagerank(table, max_iter=6)))
+    assert got == pytest.approx(page_rank(pairs, 6), abs=1e-9)
+    assert len(most) == 7 and max(most) == 2 and len(held) == 1
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_triangles(spark):
     pairs = random_edges(8, 25, 110)
     links = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
