@@ -104,3 +104,29 @@ def test_shuffles_of_a_work_table_go_with_its_write(spark):
     # the same rows can be asked for again
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, table.collect()))
     assert materialize(rows, "again").count() == 7
+
+
+def test_nested_outputs_are_dealt_once(spark, settings):
+    """Outputs move to their spenders and to their transaction, and no further."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = catalog.DATASETS["nested_transactions"](spark, SMALL)
+        count = found.count()
+        found.collect()
+        text = plan(found).split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in text.splitlines() if " Exchange hashpartitioning(" in line]
+    # outputs and spends by (tx_id, idx), counts, dealt counts, dealt rows, dealt transactions
+    assert len(moved) <= 7, text
+    assert found.distinct().count() == count > 0
+
+
+def test_repeated_rows_are_nested_once(spark):
+    ledger = derived_ledger(spark, SMALL)
+    tx, tx_in, tx_out = ledger.tx, ledger.tx_in, ledger.tx_out
+    sizes = lambda df: sorted(
+        (r.id, len(r.inputs or []), len(r.outputs or [])) for r in df.collect()
+    )
+    once = sizes(entities.transaction_documents(tx, tx_in, tx_out))
+    assert sizes(entities.transaction_documents(tx, tx_in.unionByName(tx_in), tx_out.unionByName(tx_out))) == once

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 DEAL = "_deal"
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with column ``DEAL``, the bit of a digest of the keys that :func:`join_back` joins on."""
+    digest = F.coalesce(F.pmod(F.xxhash64(*keys), F.lit(2)).cast("byte"), F.lit(0).cast("byte"))
+    return df.withColumn(DEAL, digest)
+
+
 def join_back(
     rows: DataFrame, totals: DataFrame, *keys: str, how: str = "inner", keep: bool = False
 ) -> DataFrame:
@@ -23,8 +29,5 @@ def join_back(
     further shuffle, unless a hot key was split. The bit is never null, and says so: a filter
     on it would keep a table that stands on both sides from being shuffled once for both.
     """
-    digest = F.coalesce(F.pmod(F.xxhash64(*keys), F.lit(2)).cast("byte"), F.lit(0).cast("byte"))
-    dealt = rows.withColumn(DEAL, digest).join(
-        totals.withColumn(DEAL, digest), [*keys, DEAL], how
-    )
-    return dealt if keep else dealt.drop(DEAL)
+    joined = dealt(rows, *keys).join(dealt(totals, *keys), [*keys, DEAL], how)
+    return joined if keep else joined.drop(DEAL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utxolens.functions.hot_keys import DEAL, join_back
+from utxolens.functions.hot_keys import DEAL, dealt, join_back
 from utxolens.operators.change import all_change, output_spends
 from utxolens.operators.edges import neighbour_sets
 from utxolens.operators.graph_algorithms import connected_components
@@ -129,26 +129,30 @@ def transaction_documents(
     """
     output = F.struct("id", "tx_id", "idx", "address", "value")
     spent = spent_outputs(tx_out, tx_in).select(
-        F.col("spent_in").alias("of_tx"), F.lit("in").alias("side"), output.alias("output")
+        F.col("spent_in").alias("id"), F.lit("in").alias("side"), output.alias("output")
     )
     made = tx_out.select(
-        F.col("tx_id").alias("of_tx"), F.lit("out").alias("side"), output.alias("output")
+        F.col("tx_id").alias("id"), F.lit("out").alias("side"), output.alias("output")
     )
-    rows = spent.unionByName(made).distinct()
-    sizes = rows.groupBy("of_tx").agg(F.count("*").alias("rows"))
+    # counted from the narrow tables; repeated rows go where the lists are made
+    uses = tx_in.select(F.col("tx_in_id").alias("id")).unionByName(tx_out.select(F.col("tx_id").alias("id")))
+    sizes = uses.groupBy("id").agg(F.count("*").alias("rows"))
     parts = F.ceil(F.col("rows") / part_size)
     nested = (
-        join_back(rows, sizes, "of_tx")
+        join_back(spent.unionByName(made), sizes, "id", keep=True)
         .withColumn("part", F.pmod(F.xxhash64("output.id"), parts))
-        .groupBy("of_tx", "part")
+        # a transaction's rows lie together already, unless it is a hot one that was split
+        .groupBy("id", DEAL, "part")
         .agg(
-            F.collect_list(F.when(F.col("side") == "in", F.col("output"))).alias("inputs"),
-            F.collect_list(F.when(F.col("side") == "out", F.col("output"))).alias("outputs"),
+            F.collect_set(F.when(F.col("side") == "in", F.col("output"))).alias("inputs"),
+            F.collect_set(F.when(F.col("side") == "out", F.col("output"))).alias("outputs"),
         )
     )
     filled = [F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("inputs", "outputs")]
+    # the lists stay where they are, the transactions come to them
     return (
-        tx.join(nested.withColumnRenamed("of_tx", "id"), "id", "left")
+        dealt(tx, "id")
+        .join(nested, ["id", DEAL], "left")
         .select(*tx.columns, F.coalesce("part", F.lit(0)).alias("part"), *filled)
     )
 

@@ -610,10 +610,13 @@ def transaction_document_sizes(t):
 def nested_transactions(t):
     """The outputs nested in each transaction, one row each."""
     documents = entities.transaction_documents(t.tx, t.tx_in, t.tx_out)
-    side = lambda name: documents.select(
-        F.col("id").alias("of_tx"), "hash", "block_id", F.lit(name).alias("side"), F.explode(name).alias("output")
+    # both lists at once, so that the documents are made once
+    sides = [F.struct(F.lit(name).alias("side"), F.col(name).alias("rows")) for name in ("inputs", "outputs")]
+    return (
+        documents.select(F.col("id").alias("of_tx"), "hash", "block_id", F.explode(F.array(*sides)).alias("list"))
+        .select("of_tx", "hash", "block_id", "list.side", F.explode("list.rows").alias("output"))
+        .select("of_tx", "hash", "block_id", "side", "output.*")
     )
-    return side("inputs").unionByName(side("outputs")).select("of_tx", "hash", "block_id", "side", "output.*")
 
 
 @dataset
