@@ -97,6 +97,26 @@ def test_strong_components_by_hand(spark):
     assert rows(algorithms.largest_scc(chain.filter("src < 0"))) == [(0,)]
 
 
+def test_only_changed_labels_are_told_to_neighbours(spark, monkeypatch):
+    """A ring with chords: after some rounds few vertices have news, and the last has none."""
+    told = []
+    write = algorithms.WorkTables.write
+
+    def kept(self, df, label):
+        table = write(self, df, label)
+        if label == "labels":
+            told.append(table.filter("ahead_moved or behind_moved").count())
+        return table
+
+    monkeypatch.setattr(algorithms.WorkTables, "write", kept)
+    size = 200
+    ring = [(n, (n + 1) % size) for n in range(size)] + [(n, (n * 7 + 3) % size) for n in range(0, size, 2)]
+    table = edge_table(spark, sorted(set(ring)), "bigint")
+    assert set(rows(algorithms.strongly_connected_components(table))) == {(n, 0) for n in range(size)}
+    assert told[0] == size and told[-1] == 0 and sum(told) < size * (len(told) - 1)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_page_rank(spark):
     table = edge_table(spark, TOY)
     for got, want in [
